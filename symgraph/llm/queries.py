@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import bpe, quality_rules, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_simhash_dedup": simhash.query,
         "op3_quality_rules": quality_rules.query,
+        "op6_byte_bpe": bpe.query,
     }
 
 

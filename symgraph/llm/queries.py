@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, simhash
+from . import bpe, quality_classifier, quality_rules, simhash, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_dedup": simhash.query,
         "op3_quality_rules": quality_rules.query,
+        "op4_token_counts": token_counts.query,
         "op6_byte_bpe": bpe.query,
+        "op9_quality_classifier": quality_classifier.query,
     }
 
 

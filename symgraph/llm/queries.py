@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_classifier, quality_rules, simhash, token_counts
+from . import bpe, line_dedup, quality_classifier, quality_rules, simhash, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.query,
         "op2_simhash_dedup": simhash.query,
         "op3_quality_rules": quality_rules.query,
         "op4_token_counts": token_counts.query,
         "op6_byte_bpe": bpe.query,
+        "op7_line_dedup": line_dedup.query,
         "op9_quality_classifier": quality_classifier.query,
     }
 
@@ -22,4 +24,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality_rules.SQL,
+        "op7_line_dedup": line_dedup.SQL,
     }

@@ -1,17 +1,18 @@
 """Line dedup by an exact set-similarity join: a line goes if an earlier one has nearly the same set of words.
 
-A line's words are its blank-separated, lower-cased strings; two lines match when the Jaccard index of their word sets is SIMILARITY or
+A line's words are its lower-cased strings between blanks; two lines match when the Jaccard index of their word sets is SIMILARITY or
 more. Lines are ordered by (doc_id, position); a line is removed when any earlier line matches it, whether that one stays or not.
 
-1. Words are counted over all lines, in a table of hashed counters of fixed size; a word's rarity is its counter, then its hash. Sharing
-   counters only makes the order less sharp: it is the same order for every line, so the join stays exact.
+1. Words are counted over all lines, in a table of hashed counters of fixed size; a word's rarity is a step of its counter, then its hash.
+   Sharing counters only makes the order less sharp: it is the same order for every line, so the join stays exact.
 2. Each line's words are put in that order. Lines of equal word set become one (their first occurrence; the others are removed).
 3. Prefix filter: two sets can only match if they share one of their first n - ceil(s n) + 1 words. The prefixes are joined by word, under
-   the length filter and the positional filter (the words left after the shared one must suffice).
+   the length filter, the positional filter (the words left after the shared one must suffice) and a parity filter (64 bits, each the
+   parity of the words that hash to it: every bit in which two sets differ is a word they don't share).
 4. Candidates are verified on their full sets, which are fetched by a bit map of candidate lines: fixed bits for each candidate up to a
    bound, beyond which more lines than needed are fetched, never fewer.
 
-Words are compared by 64-bit hashes, lines of equal sets by 128-bit ones.
+Words are separated by ASCII blanks and compared by 64-bit hashes, lines of equal sets by 128-bit ones.
 
 Defined results for odd input:
 * null text stays null, with no line; empty text and blank lines are never removed (an empty set matches nothing);
@@ -23,15 +24,13 @@ Defined results for odd input:
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,19 +38,78 @@ from . import common
 
 SIMILARITY = Fraction(17, 20)
 COUNTERS = 1 << 18
-#: Distinct words remembered by a worker; beyond it, it starts over.
-REMEMBERED = 1 << 19
+#: Steps of rarity for each doubling of a counter.
+STEPS = 6
 MOST_BITS = 1 << 29
-LINES_AT_ONCE = 1 << 16
+BYTES_AT_ONCE = 1 << 21
+LINES_AT_ONCE = 1 << 15
 
-_LINES = "doc_id long, doc long, pos int, k1 long, k2 long, n int, prefix array<long>"
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\r\f")] = True
+_RANDOM = np.random.default_rng(5).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_FIELDS = ["doc_id", "doc", "pos", "k1", "k2", "copy", "n", "bits", "prefix"]
+_LINES = "doc_id long, doc long, pos int, k1 long, k2 long, copy boolean, n int, bits long, prefix array<long>"
 
 
-def overlap_for(n: int, s: Fraction) -> int:
+def overlap_for(n: np.ndarray | int, s: Fraction):
     """Words that a set of n must share with any match."""
     return -(-n * s.numerator // s.denominator)
 
 
+def _mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
+    h = (h ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+class _Powers:
+    """Powers of an odd base modulo 2**64, and of its inverse, as far as they were needed."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            back = pow(_BASE, -1, 1 << 64)
+            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, base, np.uint64)]), dtype=np.uint64) for base in (_BASE, back))
+        return self.up[:n], self.down[:n]
+
+
+_powers = _Powers()
+
+
+def hashed_words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of text, lower-cased, and the line each stands in. All at once: a word's hash is the difference of two prefix sums of a polynomial, shifted back."""
+    raw = np.frombuffer(text.lower().encode(), np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    blank = _BLANK[raw]
+    edge = np.diff(blank.astype(np.int8), prepend=1, append=1)
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    up, down = _powers.upto(len(raw))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_RANDOM[raw] * up, dtype=np.uint64)])
+    h = _mix((total[end] - total[start]) * down[start], 0xA5)
+    return h, np.cumsum(raw == 10)[start]
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list, list[str]]]:
+    """Runs of rows (doc_ids, docs, texts) of about BYTES_AT_ONCE; a longer text is a run of its own."""
+    ids, docs, texts, size, lines = [], [], [], 0, 0
+    for doc_id, doc, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "doc", "text"))):
+        more = text.count("\n") + 1
+        if texts and (size + len(text) > BYTES_AT_ONCE or lines + more > LINES_AT_ONCE):
+            yield ids, docs, texts
+            ids, docs, texts, size, lines = [], [], [], 0, 0
+        ids.append(doc_id)
+        docs.append(doc)
+        texts.append(text)
+        size += len(text)
+        lines += more
+    if texts:
+        yield ids, docs, texts
+
+
 def _identified(docs: DataFrame) -> DataFrame:
     d = docs.select(common.col("doc_id").cast("long").alias("doc_id"), common.col("text").alias("text")).where("text IS NOT NULL")
     return d.withColumn("doc", F.xxhash64("doc_id", "text"))
@@ -59,87 +117,70 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(COUNTERS, np.int64)
-    words: Counter[str] = Counter()
-
-    def flush() -> None:
-        at = np.fromiter((xxhash.xxh64_intdigest(w) % COUNTERS for w in words), np.int64, len(words))
-        np.add.at(total, at, np.fromiter(words.values(), np.int64, len(words)))
-        words.clear()
-
     for batch in batches:
-        for text in batch["text"]:
-            words.update(text.as_py().lower().split())
-            if len(words) > REMEMBERED:
-                flush()
-    flush()
+        for _, _, texts in _chunks(batch):
+            total += np.bincount((hashed_words("\n".join(texts))[0] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["c", "n"])
 
 
-def word_counters(docs: DataFrame) -> np.ndarray:
-    """How many words of all lines fall to each counter."""
+def rarity_steps(docs: DataFrame) -> np.ndarray:
+    """The step of rarity of each counter: STEPS for each doubling of the number of words, over all lines, that fall to it."""
     rows = docs.mapInArrow(_count, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(COUNTERS, np.int64)
     out[rows["c"].to_numpy()] = rows["n"].to_numpy()
-    return out
-
-
-class Ranks:
-    """Words to their place in the order of rarity: (counter, hash) as one number."""
+    return np.minimum(255, STEPS * np.log2(out + 1)).astype(np.uint64)
 
-    def __init__(self, counters: np.ndarray):
-        self.counters = counters
-        self.known: dict[str, int] = {}
 
-    def order(self, words: set[str]) -> list[str]:
-        known = self.known
-        for w in words.difference(known):
-            if len(known) > REMEMBERED:
-                known.clear()
-                return self.order(words)
-            h = xxhash.xxh64_intdigest(w)
-            known[w] = int(self.counters[h % COUNTERS]) << 64 | h
-        return sorted(words, key=known.__getitem__)
-
-    def hashes(self, words: list[str]) -> list[int]:
-        return [((self.known[w] & (1 << 64) - 1) ^ 1 << 63) - (1 << 63) for w in words]
+def ordered_sets(h: np.ndarray, line: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, lines) of each line's distinct words, by line and then from the rarest on: by step, then by hash."""
+    step = steps[(h % np.uint64(COUNTERS)).astype(np.int64)]
+    key = (line.astype(np.uint64) << np.uint64(44)) | (step << np.uint64(36)) | (h >> np.uint64(28))
+    order = np.argsort(key) if int(line[-1] if len(line) else 0) < 1 << 20 else np.lexsort((h, step, line))
+    key, hs, ls = key[order], h[order], line[order]
+    if ((key[1:] == key[:-1]) & (hs[1:] != hs[:-1])).any():  # the key doesn't have all bits of the hash
+        order = np.lexsort((h, step, line))
+        hs, ls = h[order], line[order]
+    new = np.ones(len(hs), bool)
+    new[1:] = (hs[1:] != hs[:-1]) | (ls[1:] != ls[:-1])
+    return hs[new], ls[new]
 
 
 def _prefixes(shared, s: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = Ranks(shared.value)
-        out: tuple[list, ...] = ([], [], [], [], [], [])
-
-        def flush() -> pa.RecordBatch:
-            ids, doc, pos, key, size, prefix = out
-            halves = np.frombuffer(b"".join(key), np.int64).reshape(-1, 2)
-            arrays = [pa.array(ids, pa.int64()), pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))]
-            for x in out:
-                x.clear()
-            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "doc", "pos", "k1", "k2", "n", "prefix"])
-
+        steps = shared.value
         for batch in batches:
-            for doc_id, doc, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "doc", "text"))):
-                for pos, line in enumerate(text.split("\n")):
-                    words = set(line.lower().split())
-                    if not words:
-                        continue
-                    ordered = ranks.order(words)
-                    n = len(ordered)
-                    for x, v in zip(out, (doc_id, doc, pos, xxhash.xxh3_128_digest("\n".join(ordered)), n, ranks.hashes(ordered[: n - overlap_for(n, s) + 1]))):
-                        x.append(v)
-                if len(out[0]) >= LINES_AT_ONCE:
-                    yield flush()
-        if out[0]:
-            yield flush()
+            for ids, docs, texts in _chunks(batch):
+                h, line = ordered_sets(*hashed_words("\n".join(texts)), steps)
+                if not len(h):
+                    continue
+                at = np.flatnonzero(np.diff(line, prepend=-1))
+                n = np.diff(at, append=len(h))
+                k1, k2 = (np.add.reduceat(_mix(h, salt), at).view(np.int64) for salt in (0x11, 0x22))
+                bits = np.bitwise_xor.reduceat(np.uint64(1) << (_mix(h, 0x33) & np.uint64(63)), at).view(np.int64)
+                n_lines = np.array([t.count("\n") + 1 for t in texts])
+                before = np.cumsum(n_lines) - n_lines
+                row = np.searchsorted(before, line[at], "right") - 1
+                pos = line[at] - before[row]
+                known = np.array([i is not None for i in ids])[row]
+                own = np.array([i or 0 for i in ids], np.int64)[row]
+                doc = np.array(docs, np.int64)[row]
+                # of lines with the same set in this run, all but the first are copies
+                order = np.lexsort((pos, doc, own, ~known, k2, k1))
+                same = (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1])
+                copy = np.zeros(len(at), bool)
+                copy[order[1:][same]] = True
+                length = np.where(copy, 0, n - overlap_for(n, s) + 1)
+                ends = np.concatenate([[0], np.cumsum(length)])
+                words = h[np.repeat(at - ends[:-1], length) + np.arange(ends[-1])].view(np.int64)
+                arrays = [pa.array(own, mask=~known), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(copy), pa.array(n.astype(np.int32)), pa.array(bits), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words))]
+                yield pa.RecordBatch.from_arrays(arrays, _FIELDS)
 
     return run
 
 
-def _mix(doc: np.ndarray | int, pos: np.ndarray, bits: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (np.asarray(doc).astype(np.int64).view(np.uint64) + pos.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-        return ((h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(20)) % np.uint64(bits)
+def _place(doc: np.ndarray, pos: np.ndarray, bits: int) -> np.ndarray:
+    return _mix(doc.view(np.uint64) + pos.astype(np.uint64) * np.uint64(_BASE), 0x44) % np.uint64(bits)
 
 
 def _bit_map(lines: DataFrame, n: int) -> np.ndarray:
@@ -148,7 +189,7 @@ def _bit_map(lines: DataFrame, n: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _mix(batch["doc"].to_numpy(), batch["pos"].to_numpy(), bits)
+            at = _place(batch["doc"].to_numpy(), batch["pos"].to_numpy(), bits)
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "b"])
 
     rows = lines.mapInArrow(run, "word int, b long").groupBy("word").agg(F.bit_or("b").alias("b")).toArrow()
@@ -160,19 +201,24 @@ def _bit_map(lines: DataFrame, n: int) -> np.ndarray:
 def _sets(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bit_map = shared.value
+        no_steps = np.zeros(COUNTERS, np.uint64)
         for batch in batches:
-            rows = []
-            for doc_id, doc, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "doc", "text"))):
-                at = _mix(doc, np.arange(text.count("\n") + 1), 64 * len(bit_map))
-                found = np.flatnonzero(bit_map[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
-                if len(found):
-                    lines = text.split("\n")
-                    for pos in found.tolist():
-                        rows.append((doc_id, doc, pos, [xxhash.xxh64_intdigest(w) for w in set(lines[pos].lower().split())]))
-            ids, doc, pos, words = zip(*rows) if rows else ((), (), (), ())
-            ends = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int32)
-            flat = np.array([h for w in words for h in w], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "doc", "pos", "words"])
+            for ids, docs, texts in _chunks(batch):
+                n_lines = np.array([t.count("\n") + 1 for t in texts])
+                before = np.cumsum(n_lines) - n_lines
+                row = np.repeat(np.arange(len(texts)), n_lines)
+                doc, pos = np.array(docs, np.int64)[row], np.arange(len(row)) - before[row]
+                at = _place(doc, pos, 64 * len(bit_map))
+                found = np.flatnonzero(bit_map[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
+                if not len(found):
+                    continue
+                lines = "\n".join(texts).split("\n")
+                h, line = ordered_sets(*hashed_words("\n".join([lines[i] for i in found.tolist()])), no_steps)
+                ends = np.searchsorted(line, np.arange(len(found) + 1)).astype(np.int32)
+                known = np.array([i is not None for i in ids])[row[found]]
+                own = np.array([i or 0 for i in ids], np.int64)[row[found]]
+                arrays = [pa.array(own, mask=~known), pa.array(doc[found]), pa.array(pos[found].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "doc", "pos", "words"])
 
     return run
 
@@ -188,31 +234,39 @@ def removed_lines(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFra
     s, spark = Fraction(similarity), docs.sparkSession
     up, down = s.numerator, s.denominator
     d = _identified(docs)
-    counters = spark.sparkContext.broadcast(word_counters(d))
-    lines = common.materialize(d.mapInArrow(_prefixes(counters, s), _LINES), "line-sets")
-    first = lines.groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "doc", "pos", "n", "prefix")).alias("f"))
-    sets = common.materialize(first.select("k1", "k2", "f.doc", "f.pos", "f.n", "f.prefix"), "line-distinct")
-    firsts = sets.select("k1", "k2", F.col("doc").alias("f_doc"), F.col("pos").alias("f_pos"))
-    copies = common.materialize(lines.join(firsts, ["k1", "k2"]).where("doc <> f_doc OR pos <> f_pos").select("doc", "pos"), "line-copies")
-
-    posting = sets.select("doc", "pos", "n", F.posexplode("prefix").alias("p", "w"))
-    a, b = (posting.select("w", *(F.col(c).alias(f"{side}_{c}") for c in ("doc", "pos", "n", "p"))) for side in "ab")
-    least = f"least(a_n - a_p, b_n - b_p) * {up + down} >= {up} * (a_n + b_n)"
+    steps = spark.sparkContext.broadcast(rarity_steps(d))
+    lines = d.mapInArrow(_prefixes(steps, s), _LINES)
+    # copies known within a run are spread by document, so a line that is everywhere is no hot key
+    lines = lines.withColumn("key", F.when(F.col("copy"), F.col("doc")).otherwise(F.col("k1")))
+    nth = Window.partitionBy("key", "k1", "k2", "copy").orderBy(F.col("doc_id").isNull(), "doc_id", "doc", "pos")
+    lines = lines.repartition("key").withColumn("first", ~F.col("copy") & (F.row_number().over(nth) == 1))
+    sets = lines.select("doc", "pos", "first", *(F.when(F.col("first"), F.col(c)).alias(c) for c in ("n", "bits", "prefix")))
+    sets = common.materialize(sets.withColumn("id", F.monotonically_increasing_id()), "line-sets")
+
+    posting = sets.where("first").select("id", "n", "bits", F.posexplode("prefix").alias("p", "w"))
+    a, b = (posting.select("w", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "bits", "p"))) for side in "ab")
     lengths = f"a_n * {down} >= b_n * {up} AND b_n * {down} >= a_n * {up}"
-    pairs = a.join(b, "w").where(f"(a_doc, a_pos) < (b_doc, b_pos) AND {lengths} AND {least}")
-    pairs = common.materialize(pairs.select("a_doc", "a_pos", "b_doc", "b_pos").distinct(), "line-pairs")
-
-    sides = [pairs.select(F.col(f"{x}_doc").alias("doc"), F.col(f"{x}_pos").alias("pos")) for x in "ab"]
-    bit_map = spark.sparkContext.broadcast(_bit_map(sides[0].union(sides[1]), 2 * pairs.count()))
-    full = d.mapInArrow(_sets(bit_map), "doc_id long, doc long, pos int, words array<long>").groupBy("doc", "pos").agg(F.first("doc_id").alias("doc_id"), F.first("words").alias("words"))
-    full = common.materialize(full, "line-full")
-    x, y = (full.select(*(F.col(c).alias(f"{side}_{c}") for c in ("doc", "pos", "doc_id", "words"))) for side in "ab")
-    both = pairs.join(x, ["a_doc", "a_pos"]).join(y, ["b_doc", "b_pos"])
-    both = both.withColumn("o", F.size(F.array_intersect("a_words", "b_words"))).where(f"o * {up + down} >= {up} * (size(a_words) + size(b_words))")
+    least = f"least(a_n - a_p, b_n - b_p) * {up + down} >= {up} * (a_n + b_n)"
+    # each bit in which the parities of two sets differ is a word that only one has
+    differ = f"bit_count(a_bits ^ b_bits) * {up + down} <= {down - up} * (a_n + b_n)"
+    pairs = a.join(b, "w").where(f"a_id < b_id AND {lengths} AND {least} AND {differ}").select("a_id", "b_id").distinct()
+    pairs = common.materialize(pairs, "line-pairs")
+
+    place = sets.where("first").select("id", "doc", "pos")
+    sides = pairs.selectExpr("a_id AS id").union(pairs.selectExpr("b_id AS id")).distinct()
+    some = common.materialize(place.join(sides, "id"), "line-candidates")
+    bit_map = spark.sparkContext.broadcast(_bit_map(some.select("doc", "pos"), some.count()))
+    full = d.mapInArrow(_sets(bit_map), "doc_id long, doc long, pos int, words array<long>")
+    full = full.join(some, ["doc", "pos"]).dropDuplicates(["id"])
+    full = common.materialize(full, "line-words")
+    x, y = (full.select(*(F.col(c).alias(f"{side}_{c}") for c in ("id", "doc", "pos", "doc_id", "words"))) for side in "ab")
+    both = pairs.join(x, "a_id").join(y, "b_id")
+    both = both.where(f"size(array_intersect(a_words, b_words)) * {up + down} >= {up} * (size(a_words) + size(b_words))")
     later = F.when(_first("a_doc_id", "a_doc", "a_pos") < _first("b_doc_id", "b_doc", "b_pos"), F.struct(F.col("b_doc").alias("doc"), F.col("b_pos").alias("pos"))).otherwise(F.struct(F.col("a_doc").alias("doc"), F.col("a_pos").alias("pos")))
     near = both.select(later.alias("l")).select("l.*")
+    copies = sets.where("NOT first").select("doc", "pos")
     out = common.materialize(copies.union(near).groupBy("doc").agg(F.collect_set("pos").alias("positions")), "line-removed")
-    for t in (lines, sets, copies, pairs, full):
+    for t in (sets, pairs, some, full):
         common.drop_table(t)
     return out
 
@@ -234,7 +288,9 @@ def _cleaned(docs: DataFrame, similarity: Fraction) -> DataFrame:
     d = docs.select(F.struct(*(common.col(c) for c in docs.columns)).alias("row"))
     d = d.withColumn("doc", F.xxhash64(F.col("row.doc_id").cast("long"), F.col("row.text")))
     d = d.join(common.bounded_broadcast(removed, removed.count()), "doc", "left")
-    return d.select("row", _without(F.col("row.text"), F.col("positions")).alias("text"), F.coalesce(F.size("positions"), F.lit(0)).cast("long").alias("n_removed"))
+    text = F.col("row.text")
+    cleaned = _without(F.when(F.col("positions").isNotNull(), text), F.col("positions"))
+    return d.select("row", F.when(F.col("positions").isNull(), text).otherwise(cleaned).alias("text"), F.coalesce(F.size("positions"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def line_dedup(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -256,7 +312,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Every pair of distinct word sets of fitting sizes that shares a word is compared: no prefix, no positions.
 SQL = rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-w AS (SELECT doc_id, pos, line, list_sort(list_distinct(list_filter(string_split_regex(lower(line), '\s+'), lambda x: x <> ''))) AS words FROM l),
+w AS (SELECT doc_id, pos, line, list_sort(list_distinct(list_filter(string_split_regex(lower(line), '[ \t\r\f]+'), lambda x: x <> ''))) AS words FROM l),
 s AS (SELECT words, len(words) AS n, min((doc_id, pos)) AS f FROM w WHERE len(words) > 0 GROUP BY words),
 later AS (SELECT DISTINCT b.words FROM s a JOIN s b ON a.f < b.f AND a.n * {SIMILARITY.denominator} >= b.n * {SIMILARITY.numerator} AND b.n * {SIMILARITY.denominator} >= a.n * {SIMILARITY.numerator}
           WHERE len(list_intersect(a.words, b.words)) * {SIMILARITY.numerator + SIMILARITY.denominator} >= {SIMILARITY.numerator} * (a.n + b.n)),

@@ -87,7 +87,7 @@ def scores(texts: list[str | None], weights: np.ndarray, bias: float) -> np.ndar
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = MAX_TRAINING) -> DataFrame:
     """(doc_id, quality, keep) for each row of docs; trained on at most `most` rows of labels (doc_id, quality)."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(*labelled.sample(docs, labels, "quality", features, most)))
+    shared = docs.sparkSession.sparkContext.broadcast(train(*labelled.sample(docs, labels, "quality", features, most)[:2]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value

@@ -77,17 +77,16 @@ def features(texts: list[str]) -> list[labelled.Features]:
     return out
 
 
-def train(rows: list[labelled.Features], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.3, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(rows: list[labelled.Features], y: np.ndarray, words: list[str], epochs: int = EPOCHS, rate: float = 0.3, seed: int = 7) -> tuple[np.ndarray, float]:
     """(score of each bucket, bias): the logit of toxic over clean is their weighted sum. Adagrad on the softmax loss, both classes weighing the same."""
     known = np.array([len(i) > 0 for i, _ in rows], bool)
     rows, y = [r for r, k in zip(rows, known) if k], y[known].astype(int) if len(y) else y.astype(int)
     if len(set(y.tolist())) < 2:
         return np.zeros(BUCKETS, np.float32), (np.inf if len(y) and y[0] else -np.inf)
-    number: dict[str, int] = {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in words], np.int32) for words, _ in rows]
-    bucket, word = subwords(list(number))
-    bucket = bucket[np.argsort(word, kind="stable")].astype(np.int32)
-    size = np.bincount(word)
+    parts = [subwords(words[i : i + 50_000]) for i in range(0, len(words), 50_000)]
+    bucket = np.concatenate([b[np.argsort(w, kind="stable")].astype(np.int32) for b, w in parts])
+    size = np.concatenate([np.bincount(w) for _, w in parts])
+    del parts
     first = np.cumsum(size) - size
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSION)).astype(np.float32)
@@ -98,8 +97,9 @@ def train(rows: list[labelled.Features], y: np.ndarray, epochs: int = EPOCHS, ra
     weight = len(y) / (2 * np.bincount(y, minlength=2))
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
-            n = size[docs[k]]
-            flat = bucket[np.repeat(first[docs[k]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            own_words = rows[k][0]
+            n = size[own_words]
+            flat = bucket[np.repeat(first[own_words] - np.cumsum(n) + n, n) + np.arange(n.sum())]
             index, inverse = np.unique(flat, return_inverse=True)
             share = np.bincount(inverse, np.repeat(rows[k][1] / n, n)).astype(np.float32)
             own = vectors[index]
@@ -142,7 +142,7 @@ class Scorer:
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = MAX_TRAINING) -> DataFrame:
     """(doc_id, toxicity, is_toxic) for each row of docs; trained on at most `most` rows of labels (doc_id, toxic)."""
-    model = train(*labelled.sample(docs, labels, "toxic", features, most, pa.string()))
+    model = train(*labelled.sample(docs, labels, "toxic", features, most, named=True))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

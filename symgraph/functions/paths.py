@@ -126,3 +126,15 @@ def ancestors(path: Column) -> Column:
     """path and every prefix of it that ends before a /."""
     parts = F.split(path, "/")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+
+
+def matches_spec(path: Column, spec: Column) -> Column:
+    """Whether spec is one or more whole parts of path (its extension aside)."""
+    bare = F.regexp_replace(path, r"\.[^./]*$", "")
+    inside = lambda p: F.contains(F.concat(F.lit("/"), p, F.lit("/")), F.concat(F.lit("/"), spec, F.lit("/")))
+    return (spec != "") & (inside(path) | inside(bare))
+
+
+def addon_root(path: Column) -> Column:
+    """The folder below /addons/; empty where there is none."""
+    return F.regexp_extract(path, "/addons/([^/]+)/", 1)

@@ -136,3 +136,24 @@ def enclosing(nodes: DataFrame, places: DataFrame) -> DataFrame:
     outer = spine.unionByName(opened).withColumn("s", F.max("s").over(running)).where("is_place = 1 AND s IS NOT NULL").select("_k", "s")
     best = inner.unionByName(outer).groupBy("_k").agg(F.max("s").alias("s"))
     return p.join(best, "_k", "left").drop("_k", "bucket").withColumn("symbol", F.col("s.symbol")).drop("s")
+
+
+def pinned(defs: DataFrame, pins: DataFrame) -> DataFrame:
+    """(name, at, id): of each name's definitions the one whose lines hold `at`, else the one that starts nearest; ties by place. pins: (name, at)."""
+    d = pins.select("name", "at").distinct().join(defs.select("name", "id", "file", "line", "end_line"), "name")
+    holds = (F.col("line") <= F.col("at")) & (F.col("at") <= F.coalesce("end_line", "line"))
+    near = F.struct((~holds).cast("int"), F.abs(F.col("line") - F.col("at")), "file", "line", F.col("id").alias("id"))
+    return d.groupBy("name", "at").agg(F.min(near).alias("b")).select("name", "at", F.col("b.id").alias("id"))
+
+
+def nearest_package(files: DataFrame, manifests: DataFrame) -> DataFrame:
+    """(file, package): of the manifests (folder, package) the one in the nearest folder above the file, with the folders between; else the last part of the file's folder."""
+    folder = paths.dirname(F.col("file"))
+    f = files.select("file").distinct().withColumn("own", folder)
+    up = f.select("file", "own", F.explode(F.array_distinct(F.concat(paths.ancestors(F.col("own")), F.array(F.lit(""))))).alias("folder"))
+    best = up.join(manifests.groupBy("folder").agg(F.min("package").alias("package")), "folder").groupBy("file").agg(F.max(F.struct(F.length("folder").alias("n"), "folder", "package")).alias("b"))
+    j = f.join(best, "file", "left")
+    start = F.when(F.col("b.n") > 0, F.col("b.n") + 2).otherwise(1)
+    below = F.substring(F.col("own"), start, F.length("own"))
+    named = F.when(below == "", F.col("b.package")).otherwise(F.concat("b.package", F.lit("/"), below))
+    return j.select("file", F.coalesce(named, paths.basename(F.col("own"))).alias("package"))

@@ -67,3 +67,16 @@ def longest_prefix(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
     each = key.select(column, F.explode(F.array_distinct(paths.ancestors(F.col(column)))).alias("prefix"))
     best = each.join(table, "prefix").groupBy(column).agg(F.max(F.struct(F.length("prefix").alias("n"), "prefix", "target")).alias("b"))
     return df.join(best.select(column, "b.prefix", "b.target"), column, "left")
+
+
+def keyed_handlers(routes: DataFrame, methods: DataFrame) -> DataFrame:
+    """(route_id, target_id) for routes (route_id, key, bare, addon) and methods (id, key, bare, file): methods that take the route's type, by its
+    qualified name, else by its bare one; of several the only one, else the only one in a folder of controllers, else the only one of the route's addon, else none."""
+    m = methods.select(F.col("id").alias("target_id"), F.col("key").alias("m_key"), F.col("bare").alias("m_bare"), F.col("file").alias("m_file"))
+    full = routes.join(m, routes["key"] == m["m_key"]).select("route_id", "addon", "target_id", "m_file")
+    rest = routes.join(full.select("route_id").distinct(), "route_id", "left_anti")
+    both = full.unionByName(rest.join(m, rest["bare"] == m["m_bare"]).select("route_id", "addon", "target_id", "m_file")).distinct()
+    ways = {"all": F.lit(True), "controller": F.col("m_file").rlike("(^|/)controllers?/"), "addon": (F.col("addon") != "") & (paths.addon_root(F.col("m_file")) == F.col("addon"))}
+    g = both.groupBy("route_id").agg(*(F.count(F.when(c, 1)).alias(f"n_{k}") for k, c in ways.items()), *(F.min(F.when(c, F.col("target_id"))).alias(f"t_{k}") for k, c in ways.items()))
+    one = F.coalesce(*(F.when(F.col(f"n_{k}") == 1, F.col(f"t_{k}")) for k in ways))
+    return g.select("route_id", one.alias("target_id")).where("target_id IS NOT NULL")

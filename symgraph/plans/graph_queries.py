@@ -252,3 +252,42 @@ def synth_first_pass_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = t.edges(spark, sf_dir)
     one = lambda kind, by: e.where(F.col("kind") == kind).select("source_id", "target_id", F.lit("calls").alias("kind"), F.lit(by).alias("made_by"))
     return linking.first_pass_wins([one("calls", "callback"), one("bridge", "bridge"), one("calls", "late")])
+
+
+@query("refs_by_status", f"WITH {_RESOLVE_SQL} SELECT CASE WHEN target_id IS NULL THEN 'failed' ELSE 'resolved' END AS status, count(*) AS n FROM res GROUP BY 1")
+def refs_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.counts(_resolved(spark, sf_dir)[0].select(F.when(F.col("target_id").isNull(), "failed").otherwise("resolved").alias("status")), "status")
+
+
+@query("line_pin", f"WITH {GRAPH_SQL}, p AS (SELECT DISTINCT p_name AS name, p_size * 10 AS place FROM part) SELECT p.name, p.place, arg_min(n.id, (CASE WHEN n.line <= place AND place <= coalesce(n.end_line, n.line) THEN 0 ELSE 1 END, abs(n.line - place), n.file, n.line, n.id)) AS id FROM p JOIN nodes n ON n.name = p.name WHERE n.kind = 'method' GROUP BY p.name, p.place")
+def line_pin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pins = read(spark, sf_dir, "part").select(F.col("p_name").alias("name"), (F.col("p_size") * 10).alias("at"))
+    return graph.pinned(t.nodes(spark, sf_dir).where("kind = 'method'"), pins).select("name", F.col("at").alias("place"), "id")
+
+
+@query("nearest_package", f"WITH {GRAPH_SQL}, f AS (SELECT DISTINCT file FROM nodes) SELECT file, CASE WHEN starts_with(file, 'part/') THEN 'mod-' || string_split(file, '/')[2] WHEN starts_with(file, 'customer/') THEN 'app/' || string_split(file, '/')[2] ELSE regexp_extract({_dir_sql('file')}, '([^/]*)$', 1) END AS package FROM f")
+def nearest_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = read(spark, sf_dir, "part").selectExpr("concat('part/', p_type) AS folder", "concat('mod-', p_type) AS package").distinct()
+    more = spark.createDataFrame([("part", "parts"), ("customer", "app")], "folder string, package string")
+    return graph.nearest_package(t.nodes(spark, sf_dir), kinds.union(more))
+
+
+@query("callback_targets", f"WITH {GRAPH_SQL}, c AS (SELECT DISTINCT p_name AS name, 'part/' || p_type || '/Brand#1' AS caller_file, 'part/ECONOMY/' || p_brand AS registrar_file FROM part) SELECT c.*, arg_min(n.id, (CASE WHEN n.file = caller_file THEN 1 WHEN {_dir_sql('n.file')} = {_dir_sql('caller_file')} THEN 2 WHEN n.file = registrar_file THEN 3 WHEN {_dir_sql('n.file')} = {_dir_sql('registrar_file')} THEN 4 WHEN starts_with(n.file, {_dir_sql('caller_file')} || '/') THEN 10 ELSE 100 END, n.file, n.line, n.id)) AS target_id FROM c JOIN nodes n ON n.name = c.name WHERE n.kind IN ('function', 'method') GROUP BY ALL")
+def callback_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = read(spark, sf_dir, "part").selectExpr("p_name AS name", "concat('part/', p_type, '/Brand#1') AS caller_file", "concat('part/ECONOMY/', p_brand) AS registrar_file").distinct()
+    return linking.callback_targets(calls, t.nodes(spark, sf_dir))
+
+
+@query("edges_between", f"WITH {GRAPH_SQL} SELECT DISTINCT a.source_id, a.target_id FROM edges a JOIN edges b ON a.source_id = b.source_id AND a.target_id = b.target_id WHERE a.kind = 'calls'")
+def edges_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = t.edges(spark, sf_dir)
+    return e.where("kind = 'calls'").select("source_id", "target_id").join(e.select("source_id", "target_id").distinct(), ["source_id", "target_id"], "left_semi").distinct()
+
+
+@query("touch_unchanged", "SELECT doc_id, CASE WHEN contains(text, chr(10)) THEN 2 ELSE 1 END::BIGINT AS indexed_at FROM documents")
+def touch_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document of several lines was another one when it was first indexed (at 1); those are indexed again (at 2)."""
+    d = read(spark, sf_dir, "documents")
+    snapshot = lambda text, at: d.select(F.col("doc_id").alias("path"), F.length("text").alias("size"), F.lit(0).alias("mtime"), F.sha2(text, 256).alias("content_hash"), F.lit(at).cast("long").alias("indexed_at"))
+    got = store.touched(snapshot(F.replace("text", F.lit("\n"), F.lit(" ")), 1), snapshot(F.col("text"), 2))
+    return got.select(F.col("path").alias("doc_id"), "indexed_at")

@@ -240,3 +240,32 @@ def pending_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_body_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").where("text IS NOT NULL")
     return d.select("doc_id", (text.stored_body(F.col("text")) == F.col("text")).alias("whole"))
+
+
+@query("whole_word_flags", "WITH d AS (SELECT doc_id, ' ' || text || ' ' AS t, instr(text, 'the') AS k FROM documents) SELECT doc_id, k > 0 AND NOT regexp_matches(t[k], '^[A-Za-z0-9_]$') AND NOT regexp_matches(t[k + 4], '^[A-Za-z0-9_]$') AS whole FROM d")
+def whole_word_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", names.has_whole_word(F.col("text"), "the").alias("whole"))
+
+
+@query("identifier_flags", "SELECT DISTINCT p_name AS name, regexp_matches(p_name, '^[A-Za-z_$][A-Za-z0-9_$]*$') AS is_identifier FROM part UNION SELECT DISTINCT p_type, regexp_matches(p_type, '^[A-Za-z_$][A-Za-z0-9_$]*$') FROM part")
+def identifier_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part")
+    n = p.select(F.col("p_name").alias("name")).union(p.select("p_type")).distinct()
+    return n.select("name", names.is_identifier(F.col("name")).alias("is_identifier"))
+
+
+@query("skipped_paths", f"WITH p AS (SELECT page_id, {_BARE} AS name FROM pages) SELECT page_id, list_has_any(string_split(name, '/')[:-2], {paths.SKIPPED_DIRS!r}) OR regexp_matches('/' || name, '/go/(pkg|bin|src)/') AS skipped FROM p")
+def skipped_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").selectExpr("page_id", f"{_BARE} AS name").select("page_id", paths.is_skipped(F.col("name")).alias("skipped"))
+
+
+@query("spec_matches", f"WITH p AS (SELECT page_id, {_BARE} AS name, string_split({_BARE}, '/')[2] AS spec FROM pages) SELECT page_id, coalesce(spec, '') <> '' AS hit FROM p")
+def spec_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "pages").selectExpr("page_id", f"{_BARE} AS name")
+    return p.select("page_id", paths.matches_spec(F.col("name"), F.coalesce(F.get(F.split("name", "/"), F.lit(1)), F.lit(""))).alias("hit"))
+
+
+@query("line_of_match", "SELECT doc_id, 1 + length(t) - length(replace(t, chr(10), '')) AS line FROM (SELECT doc_id, substring(text, 1, instr(text, 'the') - 1) AS t, instr(text, 'the') AS k FROM documents) WHERE k > 0")
+def line_of_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", F.instr("text", "the").alias("k")).where("k > 0")
+    return d.select("doc_id", text.line_of(F.col("text"), F.col("k")).alias("line"))

@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: measure -> (side, how many spreads from the median the fence lies). The spread is the distance of the quartile on the lenient side.
+#: measure -> (side, how many spreads from the median the fence lies). The spread is the distance of the quartile on the lenient side, MIN_SPREAD at least.
 RULES = {"symbol_ratio": ("max", 8.0), "upper_ratio": ("max", 8.0), "distinct_ratio": ("min", 2.5)}
+#: Least spread of each measure: in a group of texts that are all alike, a small difference is no defect.
+MIN_SPREAD = {"symbol_ratio": 0.005, "upper_ratio": 0.005, "distinct_ratio": 0.04}
 MIN_GROUP = 30
 SKETCH_K = 2048
 #: Added to the length, so that a few symbols in a very short text don't count for much.
@@ -63,7 +65,8 @@ def thresholds(m: DataFrame, min_group: int = MIN_GROUP, k: int = SKETCH_K) -> D
         sketch = F.when(F.col("level") == "source", F.col(c)).when(F.col("level") == "lang", F.col(f"{c}_n_lang")).otherwise(F.col(f"{c}_n_all"))
         q50 = F.kll_sketch_get_quantile_double(sketch, F.lit(0.5))
         edge = F.kll_sketch_get_quantile_double(sketch, F.lit(0.75 if side == "max" else 0.25))
-        fences.append((q50 + F.lit(spread) * (edge - q50)).alias(f"{side}_{c}"))
+        width = F.greatest(F.abs(edge - q50), F.lit(MIN_SPREAD[c]))
+        fences.append((q50 + F.lit(spread if side == "max" else -spread) * width).alias(f"{side}_{c}"))
     return g.select("lang", "source", "level", *fences)
 
 
@@ -119,7 +122,7 @@ def _sql() -> str:
     def pick(c: str) -> str:
         return f"CASE level WHEN 'source' THEN s.{c} WHEN 'lang' THEN l.{c} ELSE a.{c} END"
 
-    fences = ", ".join(f"{pick(c + '_mid')} + {spread} * ({pick(c + '_edge')} - {pick(c + '_mid')}) AS {side}_{c}" for c, (side, spread) in RULES.items())
+    fences = ", ".join(f"{pick(c + '_mid')} + {spread if side == 'max' else -spread} * greatest(abs({pick(c + '_edge')} - {pick(c + '_mid')}), {MIN_SPREAD[c]}) AS {side}_{c}" for c, (side, spread) in RULES.items())
     rule = " AND ".join(f"{c} {'<=' if side == 'max' else '>='} {side}_{c}" for c, (side, _) in RULES.items())
     return f"""
 WITH m AS (SELECT doc_id, lang, source, {_MEASURES_SQL} FROM documents),

@@ -7,10 +7,11 @@ more. Lines are ordered by (doc_id, position); a line is removed when any earlie
    Sharing counters only makes the order less sharp: it is the same order for every line, so the join stays exact.
 2. Each line's words are put in that order. Lines of equal word set become one (their first occurrence; the others are removed).
 3. Prefix filter: two sets can only match if they share one of their first n - ceil(s n) + 1 words. The prefixes are joined by word, under
-   the length filter, the positional filter (the words left after the shared one must suffice) and a parity filter (64 bits, each the
-   parity of the words that hash to it: every bit in which two sets differ is a word they don't share).
+   the length filter, the positional filter (the words left after the shared one must suffice) and a parity filter (bits, each the parity
+   of the words that hash to it: every bit in which two sets differ is a word they don't share; longer lines have more of them).
 4. Candidates are verified on their full sets, which are fetched by a bit map of candidate lines: fixed bits for each candidate up to a
-   bound, beyond which more lines than needed are fetched, never fewer.
+   bound, beyond which more lines than needed are fetched, never fewer. Each line is first verified with its likeliest earlier candidate (fewest
+   parities apart); only where that fails with all the others. The result is that of all pairs, as one match is enough.
 
 Words are separated by ASCII blanks and compared by 64-bit hashes, lines of equal sets by 128-bit ones.
 
@@ -44,12 +45,19 @@ MOST_BITS = 1 << 29
 BYTES_AT_ONCE = 1 << 21
 LINES_AT_ONCE = 1 << 15
 
+#: A line's number has at most ID_BITS bits (those of monotonically_increasing_id() over 2 ** 23 partitions), the low POS_BITS for its position where that fits.
+ID_BITS = 56
+POS_BITS = 21
+
 _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\n\r\f")] = True
 _RANDOM = np.random.default_rng(5).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_FIELDS = ["doc_id", "doc", "pos", "k1", "k2", "copy", "n", "bits", "prefix"]
-_LINES = "doc_id long, doc long, pos int, k1 long, k2 long, copy boolean, n int, bits long, prefix array<long>"
+_FIELDS = ["doc_id", "doc", "pos", "k1", "k2", "copy", "n", "bits", "bits4", "bits16", "prefix"]
+_LINES = "doc_id long, doc long, pos int, k1 long, k2 long, copy boolean, n int, bits long, bits4 array<long>, bits16 array<long>, prefix array<long>"
+#: 64 parities say little of a set of more words than this (most of them are odd by chance): larger sets have LONGER times the parities, much larger ones again.
+FEW_WORDS = 96
+LONGER = 4
 
 
 def overlap_for(n: np.ndarray | int, s: Fraction):
@@ -146,6 +154,22 @@ def ordered_sets(h: np.ndarray, line: np.ndarray, steps: np.ndarray) -> tuple[np
     return hs[new], ls[new]
 
 
+def _parities(hashes: np.ndarray, n: np.ndarray, at: np.ndarray, has: np.ndarray, size: int) -> pa.Array:
+    """For each set that has them, size 64-bit words of parities, else null. hashes: of all words; n, at: number of each set's words, and the first."""
+    rows = np.flatnonzero(has)
+    own = np.repeat(np.arange(len(rows)), n[rows])
+    h = hashes[np.repeat(at[rows] - np.cumsum(n[rows]) + n[rows], n[rows]) + np.arange(len(own))] & np.uint64(64 * size - 1)
+    where = own * size + (h >> np.uint64(6)).astype(np.int64)
+    order = np.argsort(where, kind="stable")
+    where, bit = where[order], (np.uint64(1) << (h & np.uint64(63)))[order]
+    out = np.zeros(len(rows) * size, np.uint64)
+    if len(where):
+        first = np.flatnonzero(np.diff(where, prepend=-1))
+        out[where[first]] = np.bitwise_xor.reduceat(bit, first)
+    ends = np.concatenate([[0], np.cumsum(has * size)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(~has, False)), pa.array(out.view(np.int64)))
+
+
 def _prefixes(shared, s: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = shared.value
@@ -157,7 +181,8 @@ def _prefixes(shared, s: Fraction):
                 at = np.flatnonzero(np.diff(line, prepend=-1))
                 n = np.diff(at, append=len(h))
                 k1, k2 = (np.add.reduceat(_mix(h, salt), at).view(np.int64) for salt in (0x11, 0x22))
-                bits = np.bitwise_xor.reduceat(np.uint64(1) << (_mix(h, 0x33) & np.uint64(63)), at).view(np.int64)
+                parity = _mix(h, 0x33)
+                bits = np.bitwise_xor.reduceat(np.uint64(1) << (parity & np.uint64(63)), at).view(np.int64)
                 n_lines = np.array([t.count("\n") + 1 for t in texts])
                 before = np.cumsum(n_lines) - n_lines
                 row = np.searchsorted(before, line[at], "right") - 1
@@ -168,12 +193,13 @@ def _prefixes(shared, s: Fraction):
                 # of lines with the same set in this run, all but the first are copies
                 order = np.lexsort((pos, doc, own, ~known, k2, k1))
                 same = (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1])
+                lead = order[np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(order)), 0))]
                 copy = np.zeros(len(at), bool)
-                copy[order[1:][same]] = True
+                copy[order] = (doc[order] != doc[lead]) | (pos[order] != pos[lead])  # a repeated row's line is the same line
                 length = np.where(copy, 0, n - overlap_for(n, s) + 1)
                 ends = np.concatenate([[0], np.cumsum(length)])
                 words = h[np.repeat(at - ends[:-1], length) + np.arange(ends[-1])].view(np.int64)
-                arrays = [pa.array(own, mask=~known), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(copy), pa.array(n.astype(np.int32)), pa.array(bits), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words))]
+                arrays = [pa.array(own, mask=~known), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(copy), pa.array(n.astype(np.int32)), pa.array(bits), *(_parities(parity, n, at, ~copy & (n > least), size) for least, size in ((FEW_WORDS, LONGER), (FEW_WORDS * LONGER, LONGER**2))), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words))]
                 yield pa.RecordBatch.from_arrays(arrays, _FIELDS)
 
     return run
@@ -223,10 +249,66 @@ def _sets(shared):
     return run
 
 
-def _first(*names: str) -> Column:
-    """Sorts like the order of lines: a null doc_id last."""
-    doc_id, doc, pos = names
-    return F.struct(F.col(doc_id).isNull(), doc_id, doc, pos)
+def _numbered(sets: DataFrame) -> DataFrame:
+    """sets with id, a number below 2 ** ID_BITS in the order of lines (doc_id, a null one last; then doc, pos). Where ids and positions are small
+    and no doc_id stands for two texts they are packed into it; else the lines are sorted over ranges."""
+    most = sets.agg(F.min("doc_id"), F.max("doc_id"), F.max("pos"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
+    low, high, pos, nulls = most
+    if not nulls and (low is None or (low >= 0 and high < 1 << (ID_BITS - POS_BITS) and pos < 1 << POS_BITS)):
+        again = sets.select("doc_id", "doc").groupBy("doc_id").agg((F.min("doc") != F.max("doc")).alias("twice")).where("twice").isEmpty()
+        if again:
+            return sets.withColumn("id", F.shiftleft(F.col("doc_id"), POS_BITS).bitwiseOR(F.col("pos").cast("long")))
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("doc"), F.col("pos")]
+    return sets.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
+
+
+def _words_of(d: DataFrame, sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, words) of the lines with these ids: read from the documents again, by a bit map of what is asked for."""
+    some = common.materialize(sets.select("id", "doc", "pos").join(ids, "id"), "line-candidates")
+    bit_map = d.sparkSession.sparkContext.broadcast(_bit_map(some.select("doc", "pos"), some.count()))
+    full = d.mapInArrow(_sets(bit_map), "doc_id long, doc long, pos int, words array<long>").drop("doc_id")
+    return common.materialize(full.join(some, ["doc", "pos"]).select("id", "words").dropDuplicates(["id"]), "line-words")
+
+
+_POSTING = "w long, id long, bits long, bits4 array<long>, bits16 array<long>, np long"
+
+
+def _side(posting: DataFrame, x: str, *more: str) -> DataFrame:
+    """Postings as one side of the join."""
+    return posting.select("w", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "bits", "bits4", "bits16")), F.shiftright("np", 32).alias(f"{x}_n"), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"{x}_p"), *more)
+
+
+def _postings(first: DataFrame, by: str, some: DataFrame, n: int) -> DataFrame:
+    """Postings of first whose `by` (id or w) is among some, and a few others: told by a bit map, so that first is read but not shuffled."""
+    bits = first.sparkSession.sparkContext.broadcast(_bit_map(some.select(F.col(by).alias("doc"), F.lit(0).alias("pos")), n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bit_map = bits.value
+
+        def among(x: np.ndarray) -> np.ndarray:
+            at = _place(x, np.zeros(len(x), np.int64), 64 * len(bit_map))
+            return (bit_map[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+        for batch in batches:
+            if by == "id":
+                batch = batch.filter(pa.array(among(batch["id"].to_numpy())))
+            length = batch["prefix"].value_lengths().to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(length)), length)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+            w = batch["prefix"].flatten().to_numpy()
+            hit = np.flatnonzero(among(w)) if by == "w" else np.arange(len(w))
+            rows = row[hit]
+            np_ = (batch["n"].to_numpy().astype(np.int64)[rows] << 32) | place[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(w[hit]), *(batch[c].take(pa.array(rows)) for c in ("id", "bits", "bits4", "bits16")), pa.array(np_)], ["w", "id", "bits", "bits4", "bits16", "np"])
+
+    return first.select("id", "n", "bits", "bits4", "bits16", "prefix").mapInArrow(run, _POSTING)
+
+
+def _verified(pairs: DataFrame, words: DataFrame, s: Fraction) -> DataFrame:
+    """The (a_id, b_id) pairs whose sets match."""
+    x, y = words.select(F.col("id").alias("a_id"), F.col("words").alias("a_words")), words.select(F.col("id").alias("b_id"), F.col("words").alias("b_words"))
+    both = pairs.join(x, "a_id").join(y, "b_id")
+    return both.where(f"size(array_intersect(a_words, b_words)) * {s.numerator + s.denominator} >= {s.numerator} * (size(a_words) + size(b_words))").select("a_id", "b_id")
 
 
 def removed_lines(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -239,34 +321,52 @@ def removed_lines(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFra
     # copies known within a run are spread by document, so a line that is everywhere is no hot key
     lines = lines.withColumn("key", F.when(F.col("copy"), F.col("doc")).otherwise(F.col("k1")))
     nth = Window.partitionBy("key", "k1", "k2", "copy").orderBy(F.col("doc_id").isNull(), "doc_id", "doc", "pos")
-    lines = lines.repartition("key").withColumn("first", ~F.col("copy") & (F.row_number().over(nth) == 1))
-    sets = lines.select("doc", "pos", "first", *(F.when(F.col("first"), F.col(c)).alias(c) for c in ("n", "bits", "prefix")))
-    sets = common.materialize(sets.withColumn("id", F.monotonically_increasing_id()), "line-sets")
-
-    posting = sets.where("first").select("id", "n", "bits", F.posexplode("prefix").alias("p", "w"))
-    a, b = (posting.select("w", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "bits", "p"))) for side in "ab")
+    lines = lines.repartition("key").withColumn("nth", F.row_number().over(nth)).withColumn("rank", F.rank().over(nth))
+    # of rows that are the same document, one speaks for all
+    lines = lines.where("copy OR rank > 1 OR nth = 1").withColumn("first", F.expr("NOT copy AND nth = 1"))
+    sets = lines.select("doc_id", "doc", "pos", "first", *(F.when(F.col("first"), F.col(c)).alias(c) for c in ("n", "bits", "bits4", "bits16", "prefix")))
+    sets = common.materialize(sets, "line-sets")
+    first = common.materialize(_numbered(sets.where("first").drop("first")), "line-first")
+
+    # one exchange serves both sides of the join: it stands below the names
+    posting = first.select("id", "bits", "bits4", "bits16", "n", F.posexplode("prefix").alias("p", "w")).select("w", "id", "bits", "bits4", "bits16", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p").cast("long")).alias("np"))
+    posting = posting.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "w")
+
+    a, b = _side(posting, "a"), _side(posting, "b")
     lengths = f"a_n * {down} >= b_n * {up} AND b_n * {down} >= a_n * {up}"
     least = f"least(a_n - a_p, b_n - b_p) * {up + down} >= {up} * (a_n + b_n)"
     # each bit in which the parities of two sets differ is a word that only one has
     differ = f"bit_count(a_bits ^ b_bits) * {up + down} <= {down - up} * (a_n + b_n)"
-    pairs = a.join(b, "w").where(f"a_id < b_id AND {lengths} AND {least} AND {differ}").select("a_id", "b_id").distinct()
-    pairs = common.materialize(pairs, "line-pairs")
-
-    place = sets.where("first").select("id", "doc", "pos")
-    sides = pairs.selectExpr("a_id AS id").union(pairs.selectExpr("b_id AS id")).distinct()
-    some = common.materialize(place.join(sides, "id"), "line-candidates")
-    bit_map = spark.sparkContext.broadcast(_bit_map(some.select("doc", "pos"), some.count()))
-    full = d.mapInArrow(_sets(bit_map), "doc_id long, doc long, pos int, words array<long>")
-    full = full.join(some, ["doc", "pos"]).dropDuplicates(["id"])
-    full = common.materialize(full, "line-words")
-    x, y = (full.select(*(F.col(c).alias(f"{side}_{c}") for c in ("id", "doc", "pos", "doc_id", "words"))) for side in "ab")
-    both = pairs.join(x, "a_id").join(y, "b_id")
-    both = both.where(f"size(array_intersect(a_words, b_words)) * {up + down} >= {up} * (size(a_words) + size(b_words))")
-    later = F.when(_first("a_doc_id", "a_doc", "a_pos") < _first("b_doc_id", "b_doc", "b_pos"), F.struct(F.col("b_doc").alias("doc"), F.col("b_pos").alias("pos"))).otherwise(F.struct(F.col("a_doc").alias("doc"), F.col("a_pos").alias("pos")))
-    near = both.select(later.alias("l")).select("l.*")
+    for size in (LONGER, LONGER**2):  # where either set has none, this says nothing
+        apart = " + ".join(f"bit_count(a_bits{size}[{i}] ^ b_bits{size}[{i}])" for i in range(size))
+        differ += f" AND NOT coalesce(({apart}) * {up + down} > {down - up} * (a_n + b_n), false)"
+    meet = f"a_id < b_id AND {lengths} AND {least} AND {differ}"
+    # a line goes if any earlier one matches: the likeliest is tried first, so a passage that stands everywhere gives each of its lines one candidate, not all pairs
+    likely = F.shiftleft(F.expr("CAST(bit_count(a_bits ^ b_bits) AS BIGINT)"), ID_BITS).bitwiseOR(F.col("a_id"))
+    best = a.join(b, "w").where(meet).groupBy("b_id").agg(F.min(likely).alias("m"))
+    pairs = common.materialize(best.select(F.col("m").bitwiseAND(F.lit((1 << ID_BITS) - 1)).alias("a_id"), "b_id"), "line-pairs")
+    words = _words_of(d, first, pairs.selectExpr("a_id AS id").union(pairs.selectExpr("b_id AS id")).distinct())
+    done = common.materialize(_verified(pairs, words, s), "line-near")
+    near = [done.select("b_id")]
+    rest = common.materialize(pairs.join(done.select("b_id"), "b_id", "left_anti").select("b_id", F.col("a_id").alias("tried")), "line-rest")
+    n_rest = rest.count()
+    temporary = [sets, first, pairs, words, done, rest]
+    if n_rest:
+        # the others are compared with every candidate: only postings of their own words are made again
+        own = _postings(first, "id", rest.select(F.col("b_id").alias("id")), n_rest).join(common.bounded_broadcast(rest, n_rest).withColumnRenamed("b_id", "id"), "id")
+        own = common.materialize(own, "line-postings")
+        n_own = own.count()
+        left = _side(own, "b", "tried")
+        more = _side(_postings(first, "w", own.select("w").distinct(), n_own), "a").join(common.bounded_broadcast(left, n_own), "w")
+        more = common.materialize(more.where(f"a_id <> tried AND {meet}").select("a_id", "b_id").distinct(), "line-pairs")
+        words = _words_of(d, first, more.selectExpr("a_id AS id").union(more.selectExpr("b_id AS id")).distinct())
+        near.append(_verified(more, words, s).select("b_id"))
+        temporary += [own, more, words]
+    late = near[0] if len(near) == 1 else near[0].union(near[1]).distinct()
+    late = first.select("id", "doc", "pos").join(late.withColumnRenamed("b_id", "id"), "id").select("doc", "pos")
     copies = sets.where("NOT first").select("doc", "pos")
-    out = common.materialize(copies.union(near).groupBy("doc").agg(F.collect_set("pos").alias("positions")), "line-removed")
-    for t in (sets, pairs, some, full):
+    out = common.materialize(copies.union(late).groupBy("doc").agg(F.collect_set("pos").alias("positions")), "line-removed")
+    for t in temporary:
         common.drop_table(t)
     return out
 

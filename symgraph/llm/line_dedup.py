@@ -42,7 +42,7 @@ COUNTERS = 1 << 18
 #: Steps of rarity for each doubling of a counter.
 STEPS = 6
 MOST_BITS = 1 << 29
-BYTES_AT_ONCE = 1 << 21
+BYTES_AT_ONCE = 1 << 20
 LINES_AT_ONCE = 1 << 15
 
 #: A line's number has at most ID_BITS bits (those of monotonically_increasing_id() over 2 ** 23 partitions), the low POS_BITS for its position where that fits.
@@ -80,7 +80,7 @@ class _Powers:
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             back = pow(_BASE, -1, 1 << 64)
-            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, base, np.uint64)]), dtype=np.uint64) for base in (_BASE, back))
+            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]), dtype=np.uint64) for base in (_BASE, back))
         return self.up[:n], self.down[:n]
 
 
@@ -211,7 +211,7 @@ def _place(doc: np.ndarray, pos: np.ndarray, bits: int) -> np.ndarray:
 
 def _bit_map(lines: DataFrame, n: int) -> np.ndarray:
     """A bit for each of the n lines (doc, pos), of a size bounded by MOST_BITS."""
-    bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, (16 * n).bit_length()))
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, (64 * n).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,6 +327,9 @@ def removed_lines(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFra
     sets = lines.select("doc_id", "doc", "pos", "first", *(F.when(F.col("first"), F.col(c)).alias(c) for c in ("n", "bits", "bits4", "bits16", "prefix")))
     sets = common.materialize(sets, "line-sets")
     first = common.materialize(_numbered(sets.where("first").drop("first")), "line-first")
+    copies = common.materialize(sets.where("NOT first").select("doc", "pos"), "line-copies")
+    common.drop_table(sets)
+    del lines, sets
 
     # one exchange serves both sides of the join: it stands below the names
     posting = first.select("id", "bits", "bits4", "bits16", "n", F.posexplode("prefix").alias("p", "w")).select("w", "id", "bits", "bits4", "bits16", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p").cast("long")).alias("np"))
@@ -350,7 +353,7 @@ def removed_lines(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFra
     near = [done.select("b_id")]
     rest = common.materialize(pairs.join(done.select("b_id"), "b_id", "left_anti").select("b_id", F.col("a_id").alias("tried")), "line-rest")
     n_rest = rest.count()
-    temporary = [sets, first, pairs, words, done, rest]
+    temporary = [first, copies, pairs, words, done, rest]
     if n_rest:
         # the others are compared with every candidate: only postings of their own words are made again
         own = _postings(first, "id", rest.select(F.col("b_id").alias("id")), n_rest).join(common.bounded_broadcast(rest, n_rest).withColumnRenamed("b_id", "id"), "id")
@@ -364,7 +367,6 @@ def removed_lines(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFra
         temporary += [own, more, words]
     late = near[0] if len(near) == 1 else near[0].union(near[1]).distinct()
     late = first.select("id", "doc", "pos").join(late.withColumnRenamed("b_id", "id"), "id").select("doc", "pos")
-    copies = sets.where("NOT first").select("doc", "pos")
     out = common.materialize(copies.union(late).groupBy("doc").agg(F.collect_set("pos").alias("positions")), "line-removed")
     for t in temporary:
         common.drop_table(t)

@@ -389,7 +389,7 @@ def _cleaned(docs: DataFrame, similarity: Fraction) -> DataFrame:
     removed = removed_lines(docs, similarity)
     d = docs.select(F.struct(*(common.col(c) for c in docs.columns)).alias("row"))
     d = d.withColumn("doc", F.xxhash64(F.col("row.doc_id").cast("long"), F.col("row.text")))
-    d = d.join(common.bounded_broadcast(removed, removed.count()), "doc", "left")
+    d = d.join(removed, "doc", "left")  # what is removed grows with the documents: it isn't broadcast
     text = F.col("row.text")
     cleaned = _without(F.when(F.col("positions").isNotNull(), text), F.col("positions"))
     return d.select("row", F.when(F.col("positions").isNull(), text).otherwise(cleaned).alias("text"), F.coalesce(F.size("positions"), F.lit(0)).cast("long").alias("n_removed"))

@@ -32,7 +32,7 @@ from . import common
 
 VOCABULARY = f"{common.TOKENIZER_DIR}/byte_bpe_50k.json"
 #: Distinct parts remembered by a worker; beyond it, it starts over.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 ROWS_AT_ONCE = 256
 PARTS_AT_ONCE = 1 << 14
 

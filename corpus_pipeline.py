@@ -31,7 +31,7 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are interleaved at their target weights, until the first runs out."""
+    """Sources are interleaved at their target weights; when one runs out, the others go on."""
     return mixing.mix_documents(docs)
 
 

@@ -7,24 +7,28 @@ no time is a source a whole block ahead of its target or behind it.
 
 The weights are rounded to multiples of 1 / PERIOD that sum to 1. After PERIOD slots every source has exactly its share and the schedule
 starts over, so only one period is simulated (on the driver; PERIOD slots, or 10 for each source if that is more); where block j of a source goes follows from its place in the period, by a
-join with that fixed table. The mix ends when the first source has no block left: what the others still have is left out, as taking it
-would miss the targets. Within a slot, documents keep their source's order.
+join with that fixed table. Within a slot, documents keep their source's order.
 
-By default the target of a source is proportional to its size to the power TEMPERATURE.
+By default the target of a source is proportional to its size to the power TEMPERATURE, and every document has its slot: when a source has
+no block left, a new phase begins at that slot, with the others' weights renormalised and scheduled anew, until all is dealt. Each phase is
+Pfair among its sources. With weights given, these are targets to be held: the mix ends with the first phase, unless whole is true.
 
 Defined results for odd input:
-* a null source is a source of its own; null and empty texts are documents of length 0 and share the block they stand in;
+* a null source is a source of its own; null and empty texts are documents of length 0 and share the block they stand in (at a source's very end:
+  its last block); a source without a character has one block;
 * a document belongs to the block in which its first character falls; a very long one takes up several blocks, so later blocks of its source may
   be empty: such slots pass with no document;
 * ties: of equal deadlines, the source that comes first by name (null last); of equal hashes, the smaller doc_id, then text;
 * rows that repeat a doc_id are documents of their own; an empty table gives an empty one; a weight of 0 or of no weight at all leaves its source out,
-  and a weight for a source without a character ends the mix at once;
+  and a weight for a source without a character ends the mix at once if targets are to be held; else it counts for nothing where the source has no row;
 * extra columns pass through mix_documents() untouched, whatever they are called.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
+from collections.abc import Iterator
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -96,42 +100,68 @@ def _sizes(docs: DataFrame) -> dict[Source, int]:
     return {r["source"]: r["n"] or 0 for r in rows}
 
 
-def _mixed(docs: DataFrame, extra: list[Column], weights: dict[Source, float] | None, block_chars: int, period: int) -> DataFrame:
+def phases(blocks: dict[Source, int], weights: dict[Source, float], period: int = PERIOD, whole: bool = True) -> Iterator[tuple[int, int, dict[Source, tuple[int, int, int]], list[Source]]]:
+    """(first slot, number of slots, source -> (first block, block after the last, quota), sources of a period's slots) of each phase: until a
+    source has no block left for its slot, the next phase goes on with the others. Not whole: only the first phase."""
+    first, dealt = 0, dict.fromkeys(blocks, 0)
+    while live := [s for s, n in blocks.items() if dealt[s] < n and (weights.get(s) or 0) > 0]:
+        quota = quotas({s: weights[s] for s in live}, max(period, 10 * len(live)))
+        slots = schedule(quota)
+        at: dict[Source, list[int]] = {s: [] for s in live}
+        for slot, s in enumerate(slots):
+            at[s].append(slot)
+        left = {s: blocks[s] - dealt[s] for s in live}
+        length = min(left[s] // quota[s] * len(slots) + at[s][left[s] % quota[s]] for s in live)
+        spans = {s: (dealt[s], dealt[s] + length // len(slots) * quota[s] + bisect_left(at[s], length % len(slots)), quota[s]) for s in live}
+        yield first, length, spans, slots
+        if not whole:
+            return
+        first += length
+        dealt |= {s: past for s, (_, past, _) in spans.items()}
+
+
+def _mixed(docs: DataFrame, extra: list[Column], weights: dict[Source, float] | None, block_chars: int, period: int, whole: bool | None) -> DataFrame:
     """_placed() rows that are in the mix, with slot."""
     sizes = _sizes(docs)
     period = max(period, 10 * len(sizes))
-    quota = quotas(weights if weights is not None else {s: n**TEMPERATURE for s, n in sizes.items()}, period)
-    if not all(sizes.get(s) for s in quota):
-        quota = {}
-    slots = schedule(quota)
-    seen: dict[Source, int] = {}
-    rows = []
-    for slot, s in enumerate(slots):
-        rows.append((s, seen.get(s, 0), quota[s], slot))
-        seen[s] = seen.get(s, 0) + 1
-    # the first slot for which the source has no block left ends the mix
-    ends = [n_blocks // quota[s] * period + next(slot for r, i, _, slot in rows if r == s and i == n_blocks % quota[s]) for s in quota if (n_blocks := -(-sizes[s] // block_chars)) is not None]
-    end = min(ends, default=0)
-    table = docs.sparkSession.createDataFrame(rows, "t_source string, t_index int, t_quota int, t_slot int")
-    per_source = docs.sparkSession.createDataFrame([(s, q) for s, q in quota.items()], "q_source string, quota int")
-    placed = _placed(docs, extra, block_chars, len(sizes)).join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("q_source")))
-    # both tables have a fixed size: at most a row for each slot of a period
-    at = placed.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("t_source")) & (F.col("block") % F.col("quota") == F.col("t_index")))
-    at = at.withColumn("slot", F.floor(F.col("block") / F.col("quota")) * period + F.col("t_slot"))
-    return at.where(F.col("slot") < end).drop("q_source", "quota", "t_source", "t_index", "t_quota", "t_slot")
-
-
-def mix(docs: DataFrame, weights: dict[Source, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
-    """(slot, doc_id, source, block, in_block): the mix is these rows ordered by slot and in_block. Sources to relative weights; None: sizes to the power TEMPERATURE."""
+    blocks = {s: max(1, -(-n // block_chars)) for s, n in sizes.items()}
+    if weights is None:
+        weights = {s: max(1, n) ** TEMPERATURE for s, n in sizes.items()}
+        whole = whole is None or whole
+    if not whole and not all(sizes.get(s) for s, w in weights.items() if w and w > 0):
+        blocks = {}
+    ranges, table = [], []
+    for phase, (first, length, spans, slots) in enumerate(phases(blocks, weights, period, bool(whole))):
+        ranges += [(s, phase, begin, past, quota, first, len(slots)) for s, (begin, past, quota) in spans.items() if begin < past]
+        seen = dict.fromkeys(spans, 0)
+        for slot, s in enumerate(slots[:length]):
+            table.append((s, phase, seen[s], slot))
+            seen[s] += 1
+    spark = docs.sparkSession
+    per_source = spark.createDataFrame([(s, n - 1) for s, n in blocks.items()], "b_source string, last_block long")
+    per_phase = spark.createDataFrame(ranges, "p_source string, p_phase int, p_begin long, p_past long, p_quota int, p_first long, p_period int")
+    per_slot = spark.createDataFrame(table, "t_source string, t_phase int, t_index int, t_slot int")
+    placed = _placed(docs, extra, block_chars, len(sizes)).join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("b_source"))).withColumn("block", F.least("block", "last_block"))
+    # fixed sizes: at most a row for each source in each phase, and for each slot of a phase's period; there are no more phases than sources
+    at = placed.join(F.broadcast(per_phase), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") >= F.col("p_begin")) & (F.col("block") < F.col("p_past")))
+    at = at.withColumn("k", F.col("block") - F.col("p_begin"))
+    at = at.join(common.bounded_broadcast(per_slot, len(table)), F.col("source").eqNullSafe(F.col("t_source")) & (F.col("p_phase") == F.col("t_phase")) & (F.col("k") % F.col("p_quota") == F.col("t_index")))
+    at = at.withColumn("slot", F.col("p_first") + F.floor(F.col("k") / F.col("p_quota")) * F.col("p_period") + F.col("t_slot"))
+    return at.drop("b_source", "last_block", "k", *per_phase.columns, *per_slot.columns)
+
+
+def mix(docs: DataFrame, weights: dict[Source, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD, whole: bool | None = None) -> DataFrame:
+    """(slot, doc_id, source, block, in_block): the mix is these rows ordered by slot and in_block. Sources to relative weights; None: sizes to the
+    power TEMPERATURE. whole: go on when a source runs out; None: where no weights are given."""
     in_block = Window.partitionBy("slot").orderBy("start", "h", F.col("doc_id").asc_nulls_last())
-    m = _mixed(docs, [], weights, block_chars, period).withColumn("in_block", F.row_number().over(in_block).cast("long"))
+    m = _mixed(docs, [], weights, block_chars, period, whole).withColumn("in_block", F.row_number().over(in_block).cast("long"))
     return m.select("slot", "doc_id", "source", "block", "in_block")
 
 
-def mix_documents(docs: DataFrame, weights: dict[Source, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
+def mix_documents(docs: DataFrame, weights: dict[Source, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD, whole: bool | None = None) -> DataFrame:
     """The documents of the mix, all columns as they are, in its order: a file read after another by name gives the interleaving."""
     row = F.struct(*(common.col(c) for c in docs.columns)).alias("row")
-    m = _mixed(docs, [row], weights, block_chars, period).orderBy("slot", "start", "h")
+    m = _mixed(docs, [row], weights, block_chars, period, whole).orderBy("slot", "start", "h")
     return m.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 

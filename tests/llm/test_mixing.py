@@ -63,3 +63,36 @@ def test_odd_input(spark):
     assert mixing.mix(d, {"a": 1, "nowhere": 1}).count() == 0
     with pytest.raises(ValueError):
         mixing.quotas({str(i): 1 for i in range(30)}, 20)
+
+
+def test_no_document_is_lost(spark):
+    """A hot source, a source of a single document, sources without a character and empty texts at a source's end: each document has one slot."""
+    rows = [(i, "x" * (50 + i % 7), "en", "hot", 0) for i in range(2000)] + [(5000 + i, "y" * 40, "en", "some", 0) for i in range(60)]
+    rows += [(9000, "z", "en", "one", 0), (9001, None, "en", "nothing", 0), (9002, "", "en", None, 0)]
+    full = [(10_000 + i, "w" * 100, "en", "full", 0) for i in range(40)] + [(20_000 + i, "", "en", "full", 0) for i in range(40)]
+    d = spark.createDataFrame(rows + full, data.DOCS).repartition(5)
+    want = sorted(r[0] for r in rows + full)
+    got = mixing.mix(d, block_chars=200, period=20).collect()
+    assert sorted(r["doc_id"] for r in got) == want
+    assert sorted(r["doc_id"] for r in mixing.mix_documents(d, block_chars=200, period=20).collect()) == want
+    assert len({(r["slot"], r["in_block"]) for r in got}) == len(want) and len({(r["source"], r["block"]) for r in got}) == len({(r["slot"], r["source"], r["block"]) for r in got}) == len({r["slot"] for r in got})
+    weights = {"hot": 1, "some": 5, "one": 3, "nowhere": 2}
+    assert sorted(r["doc_id"] for r in mixing.mix(d, weights, block_chars=200, period=20, whole=True).collect()) == sorted(r[0] for r in rows if r[3] in weights)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcdefg"), st.tuples(st.integers(1, 400), st.floats(0.01, 100)), min_size=1))
+def test_phases_deal_each_block_once_and_stay_on_target(sources):
+    blocks, weights = {s: n for s, (n, _) in sources.items()}, {s: w for s, (_, w) in sources.items()}
+    dealt, slot = dict.fromkeys(blocks, 0), 0
+    for first, length, spans, slots in mixing.phases(blocks, weights, 50):
+        assert first == slot and length > 0 and all(begin == dealt[s] < blocks[s] for s, (begin, _, _) in spans.items())
+        had = dict.fromkeys(spans, 0)
+        for k in range(length):
+            had[slots[k % len(slots)]] += 1
+            assert all(abs(had[s] - Fraction(q * (k + 1), len(slots))) < 1 for s, (_, _, q) in spans.items())
+        assert all(begin + had[s] == past for s, (begin, past, _) in spans.items())
+        assert any(past == blocks[s] for s, (_, past, _) in spans.items())
+        dealt |= {s: past for s, (_, past, _) in spans.items()}
+        slot += length
+    assert dealt == blocks and slot == sum(blocks.values())

@@ -36,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids, and the characters that each token spans."""
-    return bpe.encode(docs)
+    """Each document's token ids, the characters that each token spans, and the text decoded from the ids again."""
+    return bpe.round_trip(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -6,14 +6,15 @@ A text that holds white space other than space, tab and line ends is encoded as
 length in bytes is known, and the count of lead bytes up to a byte is its character.
 
 Decoding reverses the byte table: a token's string is a character for each byte; the bytes are joined, so characters that were split over
-tokens come together again, and decoded as UTF-8 (bytes that are no UTF-8 become U+FFFD).
+tokens come together again, and decoded as UTF-8 (bytes that are no UTF-8 become U+FFFD). round_trip(), the registered query, encodes
+each text, decodes the ids of its row, and says whether the text came back.
 
 Defined results for odd input:
 * null text: null ids and offsets; empty text: empty arrays; null ids decode to null, and so do ids outside the vocabulary;
 * very long texts are encoded whole: only a single part is ever handed to the library at once, together with others up to a size;
 * strings of special tokens in a text are ordinary text;
 * repeated rows and ids are encoded alike, row by row; an empty table gives an empty one;
-* extra columns are not read by encode(); its result has only the columns it names.
+* extra columns are not read by encode() and round_trip(); their results have only the columns they name.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ _PART = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
 _BLANK = " \t\r\n"
 _OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 SCHEMA = "doc_id long, n_tokens int, token_ids array<int>, char_starts array<int>, char_ends array<int>"
+ROUND_TRIP_SCHEMA = SCHEMA + ", decoded_text string, round_trip boolean"
 
 
 def byte_table() -> dict[str, int]:
@@ -129,10 +131,13 @@ class Codec:
     def decode(self, ids: list[int] | None) -> str | None:
         if ids is None:
             return None
-        table = self.bytes_of
-        if any(i is None or not 0 <= i < len(table) or table[i] is None for i in ids):
+        try:
+            if ids and min(ids) < 0:
+                return None
+            raw = b"".join(map(self.bytes_of.__getitem__, ids))
+        except (IndexError, TypeError):  # an id beyond the table; a null, or an id without a token
             return None
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+        return raw.decode("utf-8", "replace")
 
 
 _codecs: dict[int, Codec] = {}
@@ -151,8 +156,8 @@ def _lists(values: np.ndarray, ends: np.ndarray, null: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(null, False)), pa.array(values))
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens, token_ids, char_starts, char_ends) for each row of docs. vocabulary: path of a tokenizers JSON file, read by the driver."""
+def _coded(docs: DataFrame, vocabulary: str, back: bool) -> DataFrame:
+    """SCHEMA for each row of docs; back: ROUND_TRIP_SCHEMA."""
     shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +166,28 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             for i in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(i, ROWS_AT_ONCE)
                 null = part["text"].is_null().to_numpy(zero_copy_only=False)
-                ids, counts, starts, stops = codec.encode([t or "" for t in part["text"].to_pylist()])
+                texts = part["text"].to_pylist()
+                ids, counts, starts, stops = codec.encode([t or "" for t in texts])
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 arrays = [part["doc_id"], pa.array(counts.astype(np.int32), mask=null), *(_lists(x, ends, null) for x in (ids, starts, stops))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "token_ids", "char_starts", "char_ends"])
+                names = ["doc_id", "n_tokens", "token_ids", "char_starts", "char_ends"]
+                if back:
+                    decoded = [None if no else codec.decode(ids[a:b].tolist()) for no, a, b in zip(null, ends[:-1], ends[1:])]
+                    arrays += [pa.array(decoded, pa.string()), pa.array([None if t is None else t == d for t, d in zip(texts, decoded)], pa.bool_())]
+                    names += ["decoded_text", "round_trip"]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return docs.select(common.col("doc_id").cast("long").alias("doc_id"), common.col("text").alias("text")).mapInArrow(run, ROUND_TRIP_SCHEMA if back else SCHEMA)
+
+
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n_tokens, token_ids, char_starts, char_ends) for each row of docs. vocabulary: path of a tokenizers JSON file, read by the driver."""
+    return _coded(docs, vocabulary, False)
+
 
-    return docs.select(common.col("doc_id").cast("long").alias("doc_id"), common.col("text").alias("text")).mapInArrow(run, SCHEMA)
+def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """encode()'s columns, decoded_text (the row's token_ids decoded) and round_trip (whether that is the row's text; null for a null text)."""
+    return _coded(docs, vocabulary, True)
 
 
 def decode(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -183,4 +204,4 @@ def decode(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(common.read(spark, sf_dir, "documents"))
+    return round_trip(common.read(spark, sf_dir, "documents"))

@@ -68,3 +68,21 @@ def test_a_split_character_alone(codec):
     ids = codec.encode(["😀"])[0].tolist()
     if len(ids) > 1:
         assert codec.decode(ids[:1]) == "�" and codec.decode(ids) == "😀"
+
+
+def test_the_query_decodes_what_it_encodes(spark, sf_dir):
+    out = bpe.query(spark, sf_dir)
+    assert out.columns == ["doc_id", "n_tokens", "token_ids", "char_starts", "char_ends", "decoded_text", "round_trip"]
+    out = common.materialize(out, "t")
+    d = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    assert d.exceptAll(out.select("doc_id", "decoded_text")).count() == 0 and out.count() == out.where("round_trip").count() == d.count()
+    assert out.select("doc_id", "decoded_text").exceptAll(bpe.decode(out)).count() == 0
+
+
+def test_round_trip_of_odd_input(spark, codec):
+    d = data.odd_docs(spark)
+    rows = bpe.round_trip(d).collect()
+    assert sorted(((r["doc_id"], r["decoded_text"]) for r in rows), key=repr) == sorted(((r["doc_id"], r["text"]) for r in d.collect()), key=repr)
+    assert all(r["round_trip"] is (None if r["decoded_text"] is None else True) for r in rows)
+    assert bpe.round_trip(data.empty_docs(spark)).count() == 0
+    assert codec.decode([-1]) is None and codec.decode([0, len(codec.bytes_of)]) is None

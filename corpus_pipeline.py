@@ -1,7 +1,7 @@
 """From raw documents to a training mix, stage by stage.
 
 Each stage takes all that its predecessor kept, written as Parquet and read again, and its decisions take effect. All but the last return the
-columns of documents; the last returns the encoded mix.
+columns of documents; the last returns the encoded mix, with each row's position in it.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids, the characters that each token spans, and the text decoded from the ids again."""
-    return bpe.round_trip(docs)
+    """Each document's position in the mix, token ids, the characters that each token spans, and the text decoded from the ids again."""
+    return bpe.round_trip_in_order(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -156,8 +156,8 @@ def _lists(values: np.ndarray, ends: np.ndarray, null: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(null, False)), pa.array(values))
 
 
-def _coded(docs: DataFrame, vocabulary: str, back: bool) -> DataFrame:
-    """SCHEMA for each row of docs; back: ROUND_TRIP_SCHEMA."""
+def _coded(docs: DataFrame, vocabulary: str, back: bool, position: bool = False) -> DataFrame:
+    """SCHEMA for each row of docs; back: ROUND_TRIP_SCHEMA; position: that column of docs before them."""
     shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,9 +175,12 @@ def _coded(docs: DataFrame, vocabulary: str, back: bool) -> DataFrame:
                     decoded = [None if no else codec.decode(ids[a:b].tolist()) for no, a, b in zip(null, ends[:-1], ends[1:])]
                     arrays += [pa.array(decoded, pa.string()), pa.array([None if t is None else t == d for t, d in zip(texts, decoded)], pa.bool_())]
                     names += ["decoded_text", "round_trip"]
+                if position:
+                    arrays, names = [part["position"], *arrays], ["position", *names]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.select(common.col("doc_id").cast("long").alias("doc_id"), common.col("text").alias("text")).mapInArrow(run, ROUND_TRIP_SCHEMA if back else SCHEMA)
+    columns = [*(["position"] if position else []), common.col("doc_id").cast("long").alias("doc_id"), common.col("text").alias("text")]
+    return docs.select(*columns).mapInArrow(run, "position long, " * position + (ROUND_TRIP_SCHEMA if back else SCHEMA))
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -190,6 +193,11 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return _coded(docs, vocabulary, True)
 
 
+def round_trip_in_order(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """round_trip() with position first: the row's place in docs, from 0 on."""
+    return _coded(common.numbered(docs, ["doc_id", "text"], "ordered"), vocabulary, True, True)
+
+
 def decode(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) for each row of (doc_id, token_ids)."""
     shared = tokens.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text())

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """These columns of df and position, its rows' place from 0 on. Of Parquet files, that is by the number of the part, name and row, however a scan packs the
+    files into tasks; what is no scan of files is written to some first."""
+    try:
+        meta = df.metadataColumn("_metadata")
+        d = df.select(*map(col, columns), meta.getField("file_name").alias("in_file"), meta.getField("row_index").alias("in_row"))
+    except AnalysisException:
+        return numbered(materialize(df.select(*map(col, columns)), name), columns, name)
+    n_rows = df.select(meta.getField("file_name").alias("file")).groupBy("file").count().collect()  # a row for each file
+    part = re.compile(r"part-(\d+)")
+    at, places = 0, []
+    for r in sorted(n_rows, key=lambda r: (int(m[1]) if (m := part.match(r["file"])) else -1, r["file"])):
+        places.append((r["file"], at))
+        at += r["count"]
+    places = df.sparkSession.createDataFrame(places, "at_file string, at long")
+    d = d.join(F.broadcast(places), F.col("in_file") == F.col("at_file"))
+    return d.select(*map(col, columns), (F.col("at") + F.col("in_row")).alias("position"))
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the folder of a DataFrame that materialize() returned."""
     spark = df.sparkSession

@@ -159,9 +159,9 @@ def mix(docs: DataFrame, weights: dict[Source, float] | None = None, block_chars
 
 
 def mix_documents(docs: DataFrame, weights: dict[Source, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD, whole: bool | None = None) -> DataFrame:
-    """The documents of the mix, all columns as they are, in its order: a file read after another by name gives the interleaving."""
+    """The documents of the mix, all columns as they are, in its order: a file read after another by its part's number gives the interleaving (common.numbered())."""
     row = F.struct(*(common.col(c) for c in docs.columns)).alias("row")
-    m = _mixed(docs, [row], weights, block_chars, period, whole).orderBy("slot", "start", "h")
+    m = _mixed(docs, [row], weights, block_chars, period, whole).orderBy("slot", "start", "h", F.col("doc_id").asc_nulls_last())
     return m.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 

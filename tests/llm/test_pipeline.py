@@ -50,3 +50,26 @@ def test_operators_are_the_ten():
 
     assert sorted(queries.queries()) == sorted("op1_toxicity op2_simhash_dedup op3_quality_rules op4_token_counts op5_embedding_dedup op6_byte_bpe op7_line_dedup op8_source_mixing op9_quality_classifier op10_warc".split())
     assert line_dedup.SQL and simhash.BITS
+
+
+def test_the_mix_keeps_its_order_in_the_last_stage(spark):
+    """Files of falling and rising sizes: a scan packs them by size, position goes by the mix."""
+    rows = [(i, f"{i} " * (1 + 40 * (i * 7919 % 23)), "en", "abc"[i % 3 if i < 900 else 0], 0) for i in range(1200)]
+    d = spark.createDataFrame(rows, data.DOCS)
+    stages = dict(corpus_pipeline.STAGES)
+    mixed = common.materialize(mixing.mix_documents(d, block_chars=2000, period=20), "t")
+    want = [r["doc_id"] for r in mixing.mix(d, block_chars=2000, period=20).orderBy("slot", "in_block").collect()]
+    for frame in (mixed, mixing.mix_documents(d, block_chars=2000, period=20)):
+        last = common.materialize(stages["byte_bpe"](spark, frame, ""), "t")
+        got = sorted((r["position"], r["doc_id"]) for r in last.collect())
+        assert [p for p, _ in got] == list(range(1200)) and [i for _, i in got] == want
+
+
+def test_position_goes_by_the_number_of_the_part(spark, tmp_path):
+    for n, rows in ((99_999, 3), (100_000, 50), (7, 20)):
+        spark.range(n, n + rows).coalesce(1).write.parquet(f"{tmp_path}/one{n}")
+        (file,) = (tmp_path / f"one{n}").glob("part-*.parquet")
+        (tmp_path / "all").mkdir(exist_ok=True)
+        file.rename(tmp_path / "all" / file.name.replace("part-00000", f"part-{n:05d}"))
+    got = common.numbered(spark.read.parquet(f"{tmp_path}/all"), ["id"], "t").orderBy("position").collect()
+    assert [(r["position"], r["id"]) for r in got] == list(enumerate([*range(7, 27), *range(99_999, 100_002), *range(100_000, 100_050)]))

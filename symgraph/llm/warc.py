@@ -53,7 +53,7 @@ def dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     if len(records) < 16 or sum(map(len, records)) < 8 * size:
         return b""
     try:
-        return zstandard.train_dictionary(size, records, k=1024, d=8, f=20, accel=4, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, records, k=1024, d=8, f=20, accel=1, split_point=1.0, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
         return b""
 

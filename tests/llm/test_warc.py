@@ -1,3 +1,4 @@
+import random
 import struct
 from pathlib import Path
 from urllib.parse import unquote, urlparse
@@ -50,3 +51,11 @@ def test_odd_input(spark):
     got = sorted(((r["page_id"], r["url"], r["html"]) for r in warc.read_warc(index, folder).collect()), key=repr)
     assert got == sorted([(1, None, "<p>x"), (2, "http://a X: y", ""), (3, "http://b", ""), (None, "http://c", "é漢😀\r\n\r\n"), (4, "http://d", long), (4, "http://d", long)], key=repr)
     assert warc.write_warc(pages.limit(0), folder_of(spark)).count() == 0
+
+
+def test_the_dictionary_learns_from_the_last_records_too():
+    rng = random.Random(1)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
+    late = words(60)
+    records = [(words(60) + (late if i >= 1500 else "")).encode() for i in range(2000)]
+    assert late[200:260].encode() in warc.dictionary(records)

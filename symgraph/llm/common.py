@@ -7,8 +7,11 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +32,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset (tests on one machine), a folder of our own."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a folder of our own if all runs on this machine (tests); else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="symgraph-")
         atexit.register(shutil.rmtree, path, True)
         path = Path(path).as_uri()
@@ -71,6 +76,41 @@ def numbered(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     return d.select(*map(col, columns), (F.col("at") + F.col("in_row")).alias("position"))
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
+    """Batches sorted by key as tables of about this many rows, each with all the rows of its keys."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if n >= rows and batch[key][-1] != held[-1][key][-1]:
+            # all but the last key of the new batch are complete
+            keys = batch[key].to_numpy()
+            cut = int(np.argmax(keys == keys[-1]))
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held, n = [], 0
+            batch = batch.slice(cut)
+        held.append(batch)
+        n += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def blocked(df: DataFrame, key: str, row_id: str, hot: int, counted: DataFrame | None = None) -> DataFrame:
+    """df with keys of at most about 2 * hot rows: the rows of a key with more are spread over blocks, and each pair of blocks has a key of its own, so any two rows
+    of a key still meet in one. counted: (key, of rows) to count in, where it is known which rows can have such a key."""
+    heavy = (df.select(key) if counted is None else counted).groupBy(F.col(key).alias("hot_key")).count().where(F.col("count") > hot)
+    heavy = materialize(heavy.select("hot_key", F.ceil(F.col("count") / hot).cast("int").alias("blocks")), "hot-keys")
+    n = heavy.count()
+    if not n:
+        drop_table(heavy)
+        return df
+    p = df.join(bounded_broadcast(heavy, n), F.col(key) == F.col("hot_key"), "left").withColumn("own", F.pmod(F.xxhash64(row_id), F.col("blocks")))
+    p = p.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))))
+    pair = F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))
+    return p.withColumn(key, F.when(F.col("blocks").isNull(), F.col(key)).otherwise(pair)).drop("hot_key", "blocks", "own", "other")
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the folder of a DataFrame that materialize() returned."""
     spark = df.sparkSession
@@ -91,7 +131,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """(a, b) edges over longs -> (id, root), root being the least id that id is connected to. Ids without an edge don't occur.
 
     Alternating large-star and small-star steps over tables in the shared folder, until a round changes nothing: about log(n) rounds,
-    each a shuffle of the edges. Both steps are group-by-minimum, so a vertex with many edges costs no single task its memory.
+    each a shuffle of the edges. The minimum of a vertex is aggregated before it is shuffled; the join that hands it out again is a sort-merge join
+    whose streamed side is the edges, so a vertex with many edges costs a task time, not memory, and AQE splits it (skew join).
     """
     e = materialize(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), name)
     seen = _fingerprint(e)

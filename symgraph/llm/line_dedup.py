@@ -6,12 +6,14 @@ more. Lines are ordered by (doc_id, position); a line is removed when any earlie
 1. Words are counted over all lines, in a table of hashed counters of fixed size; a word's rarity is a step of its counter, then its hash.
    Sharing counters only makes the order less sharp: it is the same order for every line, so the join stays exact.
 2. Each line's words are put in that order. Lines of equal word set become one (their first occurrence; the others are removed).
-3. Prefix filter: two sets can only match if they share one of their first n - ceil(s n) + 1 words. The prefixes are joined by word, under
-   the length filter, the positional filter (the words left after the shared one must suffice) and a parity filter (bits, each the parity
-   of the words that hash to it: every bit in which two sets differ is a word they don't share; longer lines have more of them).
-4. Candidates are verified on their full sets, which are fetched by a bit map of candidate lines: fixed bits for each candidate up to a
-   bound, beyond which more lines than needed are fetched, never fewer. Each line is first verified with its likeliest earlier candidate (fewest
-   parities apart); only where that fails with all the others. The result is that of all pairs, as one match is enough.
+3. Prefix filter: two sets can only match if they share one of their first n - ceil(s n) + 1 words. The prefixes are sorted by word; within a
+   word, lines stand by length, so that the length filter is a window. Pairs in the window pass the positional filter (the words left after
+   the shared one must suffice) and a parity filter (bits, each the parity of the words that hash to it: every bit in which two sets differ
+   is a word they don't share; longer lines have more of them). All of that runs over Arrow batches in numpy. A word with more than HOT lines is
+   spread over blocks, each pair of blocks a group of its own, so no task holds all of its lines.
+4. Of a line's earlier candidates the CANDIDATES likeliest of each word (fewest parities apart) are verified on their full sets, so a passage that stands
+   everywhere gives each of its lines a few candidates, not all pairs. Where these fail and there were more, all others are verified in a second
+   round over the postings of those lines' words. The result is that of all pairs, as one match is enough.
 
 Words are separated by ASCII blanks and compared by 64-bit hashes, lines of equal sets by 128-bit ones.
 
@@ -41,9 +43,16 @@ SIMILARITY = Fraction(17, 20)
 COUNTERS = 1 << 18
 #: Steps of rarity for each doubling of a counter.
 STEPS = 6
+#: A table of candidate lines has 64 bits for each, up to this many bits; for more candidates the documents are joined instead.
 MOST_BITS = 1 << 29
-BYTES_AT_ONCE = 1 << 20
-LINES_AT_ONCE = 1 << 15
+#: Likeliest earlier lines that are verified at first, for each line and word.
+CANDIDATES = 4
+#: Lines of a word that a task compares at once.
+HOT = 1 << 16
+ROWS_AT_ONCE = 1 << 17
+PAIRS_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 17
+LINES_AT_ONCE = 1 << 12
 
 #: A line's number has at most ID_BITS bits (those of monotonically_increasing_id() over 2 ** 23 partitions), the low POS_BITS for its position where that fits.
 ID_BITS = 56
@@ -52,9 +61,10 @@ POS_BITS = 21
 _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\n\r\f")] = True
 _RANDOM = np.random.default_rng(5).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_RANDOM[65:91] = _RANDOM[97:123]  # capital letters count as small ones
 _BASE = 0x9E3779B97F4A7C15
-_FIELDS = ["doc_id", "doc", "pos", "k1", "k2", "copy", "n", "bits", "bits4", "bits16", "prefix"]
-_LINES = "doc_id long, doc long, pos int, k1 long, k2 long, copy boolean, n int, bits long, bits4 array<long>, bits16 array<long>, prefix array<long>"
+_FIELDS = ["doc_id", "doc", "pos", "k1", "k2", "copy", "n", "bits", "prefix", "hot"]
+_LINES = "doc_id long, doc long, pos int, k1 long, k2 long, copy boolean, n int, bits binary, prefix array<long>, hot array<long>"
 #: 64 parities say little of a set of more words than this (most of them are odd by chance): larger sets have LONGER times the parities, much larger ones again.
 FEW_WORDS = 96
 LONGER = 4
@@ -87,18 +97,22 @@ class _Powers:
 _powers = _Powers()
 
 
-def hashed_words(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of text, lower-cased, and the line each stands in. All at once: a word's hash is the difference of two prefix sums of a polynomial, shifted back."""
-    raw = np.frombuffer(text.lower().encode(), np.uint8)
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts, lower-cased, and the line each stands in, lines being counted through. All at once: a word's hash is the difference of two prefix sums of a polynomial, shifted back."""
+    raw = np.frombuffer("\n".join([t if t.isascii() else t.lower() for t in texts]).encode(), np.uint8)
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     blank = _BLANK[raw]
-    edge = np.diff(blank.astype(np.int8), prepend=1, append=1)
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    edge = np.flatnonzero(np.concatenate([[~blank[0]], blank[1:] != blank[:-1], [~blank[-1]]]))
+    start, end = edge[::2], edge[1::2]
     up, down = _powers.upto(len(raw))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_RANDOM[raw] * up, dtype=np.uint64)])
-    h = _mix((total[end] - total[start]) * down[start], 0xA5)
-    return h, np.cumsum(raw == 10)[start]
+    total = np.zeros(len(raw) + 1, np.uint64)
+    step = _RANDOM[raw]
+    step *= up
+    np.cumsum(step, out=total[1:])
+    h = total[end] - total[start]
+    h *= down[start]
+    return _mix(h, 0xA5), np.searchsorted(np.flatnonzero(raw == 10), start)
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list, list[str]]]:
@@ -126,8 +140,9 @@ def _identified(docs: DataFrame) -> DataFrame:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(COUNTERS, np.int64)
     for batch in batches:
-        for _, _, texts in _chunks(batch):
-            total += np.bincount((hashed_words("\n".join(texts))[0] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = [(hashed_words(texts)[0] % np.uint64(COUNTERS)).astype(np.int32) for _, _, texts in _chunks(batch)]
+        if at:
+            total += np.bincount(np.concatenate(at), minlength=COUNTERS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["c", "n"])
 
@@ -154,35 +169,39 @@ def ordered_sets(h: np.ndarray, line: np.ndarray, steps: np.ndarray) -> tuple[np
     return hs[new], ls[new]
 
 
-def _parities(hashes: np.ndarray, n: np.ndarray, at: np.ndarray, has: np.ndarray, size: int) -> pa.Array:
-    """For each set that has them, size 64-bit words of parities, else null. hashes: of all words; n, at: number of each set's words, and the first."""
-    rows = np.flatnonzero(has)
-    own = np.repeat(np.arange(len(rows)), n[rows])
-    h = hashes[np.repeat(at[rows] - np.cumsum(n[rows]) + n[rows], n[rows]) + np.arange(len(own))] & np.uint64(64 * size - 1)
-    where = own * size + (h >> np.uint64(6)).astype(np.int64)
-    order = np.argsort(where, kind="stable")
-    where, bit = where[order], (np.uint64(1) << (h & np.uint64(63)))[order]
-    out = np.zeros(len(rows) * size, np.uint64)
-    if len(where):
+def _parities(hashes: np.ndarray, n: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The parities of each set, in 1, LONGER or LONGER ** 2 64-bit words, as bytes. hashes: of all words; n, at: number of each set's words, and the first."""
+    size = np.where(n > FEW_WORDS * LONGER, LONGER**2, np.where(n > FEW_WORDS, LONGER, 1))
+    ends = np.concatenate([[0], np.cumsum(size)])
+    where = np.repeat(ends[:-1], n) + ((hashes >> np.uint64(6)) & np.repeat(size - 1, n).astype(np.uint64)).astype(np.int64)
+    bit = np.uint64(1) << (hashes & np.uint64(63))
+    out = np.zeros(ends[-1], np.uint64)
+    if size.max(initial=1) == 1:
+        out[:] = np.bitwise_xor.reduceat(bit, at)
+    else:
+        order = np.argsort(where, kind="stable")
+        where, bit = where[order], bit[order]
         first = np.flatnonzero(np.diff(where, prepend=-1))
         out[where[first]] = np.bitwise_xor.reduceat(bit, first)
-    ends = np.concatenate([[0], np.cumsum(has * size)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(~has, False)), pa.array(out.view(np.int64)))
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(out)])
 
 
-def _prefixes(shared, s: Fraction):
+def _lists(values: np.ndarray, length: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(values))
+
+
+def _prefixes(shared, s: Fraction, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = shared.value
+        heavy = np.uint64(STEPS * np.log2(hot + 1))
         for batch in batches:
             for ids, docs, texts in _chunks(batch):
-                h, line = ordered_sets(*hashed_words("\n".join(texts)), steps)
+                h, line = ordered_sets(*hashed_words(texts), steps)
                 if not len(h):
                     continue
                 at = np.flatnonzero(np.diff(line, prepend=-1))
                 n = np.diff(at, append=len(h))
                 k1, k2 = (np.add.reduceat(_mix(h, salt), at).view(np.int64) for salt in (0x11, 0x22))
-                parity = _mix(h, 0x33)
-                bits = np.bitwise_xor.reduceat(np.uint64(1) << (parity & np.uint64(63)), at).view(np.int64)
                 n_lines = np.array([t.count("\n") + 1 for t in texts])
                 before = np.cumsum(n_lines) - n_lines
                 row = np.searchsorted(before, line[at], "right") - 1
@@ -197,14 +216,122 @@ def _prefixes(shared, s: Fraction):
                 copy = np.zeros(len(at), bool)
                 copy[order] = (doc[order] != doc[lead]) | (pos[order] != pos[lead])  # a repeated row's line is the same line
                 length = np.where(copy, 0, n - overlap_for(n, s) + 1)
-                ends = np.concatenate([[0], np.cumsum(length)])
-                words = h[np.repeat(at - ends[:-1], length) + np.arange(ends[-1])].view(np.int64)
-                arrays = [pa.array(own, mask=~known), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(copy), pa.array(n.astype(np.int32)), pa.array(bits), *(_parities(parity, n, at, ~copy & (n > least), size) for least, size in ((FEW_WORDS, LONGER), (FEW_WORDS * LONGER, LONGER**2))), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words))]
+                before = np.cumsum(length) - length
+                words = h[np.repeat(at - before, length) + np.arange(length.sum())]
+                much = steps[(words % np.uint64(COUNTERS)).astype(np.int64)] >= heavy
+                n_much = np.bincount(np.repeat(np.arange(len(at)), length)[much], minlength=len(at))
+                arrays = [pa.array(own, mask=~known), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(copy), pa.array(n.astype(np.int32)), _parities(_mix(h, 0x33), n, at), _lists(words.view(np.int64), length), _lists(words[much].view(np.int64), n_much)]
                 yield pa.RecordBatch.from_arrays(arrays, _FIELDS)
 
     return run
 
 
+def _apart(flat: np.ndarray, size: np.ndarray):
+    """A function of two arrays of rows: in how many parities each two differ, of as many as both have. Fewer parities are the sums of more."""
+    at = np.cumsum(size) - size
+    levels, fold = [], None
+    for words in (LONGER**2, LONGER):
+        rows = np.flatnonzero(size >= words)
+        number = np.zeros(len(size), np.int64)
+        number[rows] = np.arange(len(rows))
+        own = np.zeros((len(rows), words), np.uint64)
+        if fold is not None:
+            own[number[fold[0]]] = np.bitwise_xor.reduce(fold[1].reshape(-1, LONGER, words), axis=1)
+        exact = np.flatnonzero(size == words)
+        own[number[exact]] = flat[at[exact][:, None] + np.arange(words)]
+        fold = rows, own
+        levels.append((words, number, own))
+    one = np.bitwise_xor.reduceat(flat, at) if len(at) else flat
+
+    def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.bitwise_count(one[x] ^ one[y]).astype(np.int64)
+        both = np.minimum(size[x], size[y])
+        for words, number, own in levels:
+            some = np.flatnonzero(both == words)
+            if len(some):
+                out[some] = np.bitwise_count(own[number[x[some]]] ^ own[number[y[some]]]).sum(axis=1)
+        return out
+
+    return apart
+
+
+def pairs_of(key: np.ndarray, ids: np.ndarray, n: np.ndarray, p: np.ndarray, flat: np.ndarray, size: np.ndarray, s: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(earlier id, later id, parities apart) of postings of one key that pass all filters, a run of pairs at a time. key: sorted; flat, size: words of parities, and how many each posting has."""
+    up, down = s.numerator, s.denominator
+    group = np.cumsum(np.diff(key, prepend=key[:1] - 1) != 0) - 1
+    order = np.argsort((group << 32) | n, kind="stable")
+    ids, n, p, group = ids[order], n[order], p[order], group[order]
+    apart = _apart(flat[np.repeat((np.cumsum(size) - size)[order] - np.cumsum(size[order]) + size[order], size[order]) + np.arange(len(flat))], size[order])
+    # of a group, the lines from here to that of the greatest fitting length
+    past = np.searchsorted((group << 32) | n, (group << 32) | (n * down // up), "right")
+    count = past - np.arange(len(n)) - 1
+    ends = np.cumsum(count)
+    row = 0
+    while row < len(n):
+        stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + PAIRS_AT_ONCE, "right")))
+        x = np.repeat(np.arange(row, stop), count[row:stop])
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count[row:stop]) - count[row:stop], count[row:stop])
+        row = stop
+        both = n[x] + n[y]
+        go = np.flatnonzero((np.minimum(n[x] - p[x], n[y] - p[y]) * (up + down) >= up * both) & (ids[x] != ids[y]))
+        x, y, both = x[go], y[go], both[go]
+        d = apart(x, y)
+        go = np.flatnonzero(d * (up + down) <= (down - up) * both)
+        x, y = x[go], y[go]
+        yield np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), d[go]
+
+
+def _distinct(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs without repetition, by b, then from the likeliest a on."""
+    order = np.lexsort((a, d, b))
+    a, b, d = a[order], b[order], d[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new], d[new]
+
+
+def _candidates(s: Fraction, most: int | None):
+    """Of postings by key: (a, b, more): pairs that may match, a the earlier line. At most `most` of each b in a run of groups: more says whether there were others.
+    Without a bound: the pairs whose b is asked for."""
+
+    def best(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+        a, b, d = _distinct(a, b, d)
+        first = np.flatnonzero(np.diff(b, prepend=-1))
+        nth = np.arange(len(b)) - np.repeat(first, np.diff(first, append=len(b)))
+        more = np.repeat(np.diff(first, append=len(b)) > most, np.diff(first, append=len(b)))
+        keep = nth < most
+        return a[keep], b[keep], d[keep], more[keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in common.whole_groups(batches, "key", ROWS_AT_ONCE):
+            key = rows["key"].to_numpy()
+            with_others = np.zeros(len(key), bool)
+            with_others[1:] = key[1:] == key[:-1]
+            with_others[:-1] |= with_others[1:]
+            rows = rows.filter(pa.array(with_others))
+            if not rows.num_rows:
+                continue
+            bits = rows["bits"].combine_chunks()
+            ends = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64) // 8
+            flat = np.frombuffer(bits.buffers()[2], np.uint64)[ends[0] : ends[-1]]
+            np_ = rows["np"].to_numpy()
+            asked = np.unique(rows["id"].filter(rows["asked"]).to_numpy()) if most is None else None
+            a = b = d = np.zeros(0, np.int64)
+            more: np.ndarray = np.zeros(0, bool)
+            for x, y, apart in pairs_of(rows["key"].to_numpy(), rows["id"].to_numpy(), np_ >> 32, np_ & 0xFFFFFFFF, flat, np.diff(ends), s):
+                if most is None:
+                    x, y, apart = _distinct(*(v[np.isin(y, asked)] for v in (x, y, apart)))
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.zeros(len(x), bool))], ["a", "b", "more"])
+                    continue
+                had = np.unique(b[more])
+                a, b, d, more = best(np.concatenate([a, x]), np.concatenate([b, y]), np.concatenate([d, apart]))
+                more |= np.isin(b, had)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more)], ["a", "b", "more"])
+
+    return run
+
+
 def _place(doc: np.ndarray, pos: np.ndarray, bits: int) -> np.ndarray:
     return _mix(doc.view(np.uint64) + pos.astype(np.uint64) * np.uint64(_BASE), 0x44) % np.uint64(bits)
 
@@ -239,7 +366,7 @@ def _sets(shared):
                 if not len(found):
                     continue
                 lines = "\n".join(texts).split("\n")
-                h, line = ordered_sets(*hashed_words("\n".join([lines[i] for i in found.tolist()])), no_steps)
+                h, line = ordered_sets(*hashed_words([lines[i] for i in found.tolist()]), no_steps)
                 ends = np.searchsorted(line, np.arange(len(found) + 1)).astype(np.int32)
                 known = np.array([i is not None for i in ids])[row[found]]
                 own = np.array([i or 0 for i in ids], np.int64)[row[found]]
@@ -249,59 +376,46 @@ def _sets(shared):
     return run
 
 
-def _numbered(sets: DataFrame) -> DataFrame:
+def _numbered(d: DataFrame, sets: DataFrame) -> DataFrame:
     """sets with id, a number below 2 ** ID_BITS in the order of lines (doc_id, a null one last; then doc, pos). Where ids and positions are small
-    and no doc_id stands for two texts they are packed into it; else the lines are sorted over ranges."""
-    most = sets.agg(F.min("doc_id"), F.max("doc_id"), F.max("pos"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
-    low, high, pos, nulls = most
-    if not nulls and (low is None or (low >= 0 and high < 1 << (ID_BITS - POS_BITS) and pos < 1 << POS_BITS)):
-        again = sets.select("doc_id", "doc").groupBy("doc_id").agg((F.min("doc") != F.max("doc")).alias("twice")).where("twice").isEmpty()
-        if again:
-            return sets.withColumn("id", F.shiftleft(F.col("doc_id"), POS_BITS).bitwiseOR(F.col("pos").cast("long")))
+    and no doc_id is repeated they are packed into it; else the lines are sorted over ranges, and stored."""
+    low, high, nulls = d.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
+    pos = sets.agg(F.max("pos")).first()[0]
+    if pos is None or not nulls and low >= 0 and high < 1 << (ID_BITS - POS_BITS) and pos < 1 << POS_BITS and d.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return sets.withColumn("id", F.shiftleft(F.col("doc_id"), POS_BITS).bitwiseOR(F.col("pos").cast("long")))
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("doc"), F.col("pos")]
-    return sets.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
+    return common.materialize(sets.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()), "line-numbered")
 
 
 def _words_of(d: DataFrame, sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, words) of the lines with these ids: read from the documents again, by a bit map of what is asked for."""
+    """(id, words) of the lines with these ids: read from the documents again, by a bit map of what is asked for; where that would be too full, by a join."""
     some = common.materialize(sets.select("id", "doc", "pos").join(ids, "id"), "line-candidates")
-    bit_map = d.sparkSession.sparkContext.broadcast(_bit_map(some.select("doc", "pos"), some.count()))
-    full = d.mapInArrow(_sets(bit_map), "doc_id long, doc long, pos int, words array<long>").drop("doc_id")
-    return common.materialize(full.join(some, ["doc", "pos"]).select("id", "words").dropDuplicates(["id"]), "line-words")
-
+    n = some.count()
+    if 64 * n <= MOST_BITS:
+        asked = d
+        bit_map = d.sparkSession.sparkContext.broadcast(_bit_map(some.select("doc", "pos"), n))
+    else:
+        asked = d.join(some.select("doc").distinct(), "doc", "left_semi")
+        bit_map = d.sparkSession.sparkContext.broadcast(np.full(1, ~np.uint64(0)))  # every line of these
+    full = asked.select("doc_id", "doc", "text").mapInArrow(_sets(bit_map), "doc_id long, doc long, pos int, words array<long>").drop("doc_id")
+    out = common.materialize(full.join(some, ["doc", "pos"]).select("id", "words").dropDuplicates(["id"]), "line-words")
+    common.drop_table(some)
+    return out
 
-_POSTING = "w long, id long, bits long, bits4 array<long>, bits16 array<long>, np long"
 
+def _postings(first: DataFrame, *more: str) -> DataFrame:
+    return first.select("id", "bits", "n", F.posexplode("prefix").alias("p", "w"), *more).select("w", "id", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p").cast("long")).alias("np"), *more)
 
-def _side(posting: DataFrame, x: str, *more: str) -> DataFrame:
-    """Postings as one side of the join."""
-    return posting.select("w", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "bits", "bits4", "bits16")), F.shiftright("np", 32).alias(f"{x}_n"), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"{x}_p"), *more)
 
+def _blocks(postings: DataFrame, first: DataFrame, hot: int) -> DataFrame:
+    """postings with key: the word, or for a word of many lines a pair of blocks of them. Only words that may be so frequent are counted."""
+    words = first.where("size(hot) > 0").select(F.explode("hot").alias("key"))
+    return common.blocked(postings.withColumnRenamed("w", "key"), "key", "id", hot, words)
 
-def _postings(first: DataFrame, by: str, some: DataFrame, n: int) -> DataFrame:
-    """Postings of first whose `by` (id or w) is among some, and a few others: told by a bit map, so that first is read but not shuffled."""
-    bits = first.sparkSession.sparkContext.broadcast(_bit_map(some.select(F.col(by).alias("doc"), F.lit(0).alias("pos")), n))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit_map = bits.value
-
-        def among(x: np.ndarray) -> np.ndarray:
-            at = _place(x, np.zeros(len(x), np.int64), 64 * len(bit_map))
-            return (bit_map[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-        for batch in batches:
-            if by == "id":
-                batch = batch.filter(pa.array(among(batch["id"].to_numpy())))
-            length = batch["prefix"].value_lengths().to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(len(length)), length)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
-            w = batch["prefix"].flatten().to_numpy()
-            hit = np.flatnonzero(among(w)) if by == "w" else np.arange(len(w))
-            rows = row[hit]
-            np_ = (batch["n"].to_numpy().astype(np.int64)[rows] << 32) | place[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(w[hit]), *(batch[c].take(pa.array(rows)) for c in ("id", "bits", "bits4", "bits16")), pa.array(np_)], ["w", "id", "bits", "bits4", "bits16", "np"])
-
-    return first.select("id", "n", "bits", "bits4", "bits16", "prefix").mapInArrow(run, _POSTING)
+def _met(postings: DataFrame, s: Fraction, most: int | None) -> DataFrame:
+    found = postings.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(s, most), "a_id long, b_id long, more boolean")
+    return common.materialize(found, "line-pairs")
 
 
 def _verified(pairs: DataFrame, words: DataFrame, s: Fraction) -> DataFrame:
@@ -311,61 +425,41 @@ def _verified(pairs: DataFrame, words: DataFrame, s: Fraction) -> DataFrame:
     return both.where(f"size(array_intersect(a_words, b_words)) * {s.numerator + s.denominator} >= {s.numerator} * (size(a_words) + size(b_words))").select("a_id", "b_id")
 
 
-def removed_lines(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
+def removed_lines(docs: DataFrame, similarity: Fraction = SIMILARITY, candidates: int = CANDIDATES, hot: int = HOT) -> DataFrame:
     """(doc, positions): the lines to remove of each document that has any; doc is xxhash64(doc_id, text)."""
     s, spark = Fraction(similarity), docs.sparkSession
-    up, down = s.numerator, s.denominator
     d = _identified(docs)
     steps = spark.sparkContext.broadcast(rarity_steps(d))
-    lines = d.mapInArrow(_prefixes(steps, s), _LINES)
+    lines = d.mapInArrow(_prefixes(steps, s, hot), _LINES)
     # copies known within a run are spread by document, so a line that is everywhere is no hot key
     lines = lines.withColumn("key", F.when(F.col("copy"), F.col("doc")).otherwise(F.col("k1")))
     nth = Window.partitionBy("key", "k1", "k2", "copy").orderBy(F.col("doc_id").isNull(), "doc_id", "doc", "pos")
     lines = lines.repartition("key").withColumn("nth", F.row_number().over(nth)).withColumn("rank", F.rank().over(nth))
     # of rows that are the same document, one speaks for all
     lines = lines.where("copy OR rank > 1 OR nth = 1").withColumn("first", F.expr("NOT copy AND nth = 1"))
-    sets = lines.select("doc_id", "doc", "pos", "first", *(F.when(F.col("first"), F.col(c)).alias(c) for c in ("n", "bits", "bits4", "bits16", "prefix")))
+    sets = lines.select("doc_id", "doc", "pos", "first", *(F.when(F.col("first"), F.col(c)).alias(c) for c in ("n", "bits", "prefix", "hot")))
     sets = common.materialize(sets, "line-sets")
-    first = common.materialize(_numbered(sets.where("first").drop("first")), "line-first")
-    copies = common.materialize(sets.where("NOT first").select("doc", "pos"), "line-copies")
-    common.drop_table(sets)
-    del lines, sets
-
-    # one exchange serves both sides of the join: it stands below the names
-    posting = first.select("id", "bits", "bits4", "bits16", "n", F.posexplode("prefix").alias("p", "w")).select("w", "id", "bits", "bits4", "bits16", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p").cast("long")).alias("np"))
-    posting = posting.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "w")
-
-    a, b = _side(posting, "a"), _side(posting, "b")
-    lengths = f"a_n * {down} >= b_n * {up} AND b_n * {down} >= a_n * {up}"
-    least = f"least(a_n - a_p, b_n - b_p) * {up + down} >= {up} * (a_n + b_n)"
-    # each bit in which the parities of two sets differ is a word that only one has
-    differ = f"bit_count(a_bits ^ b_bits) * {up + down} <= {down - up} * (a_n + b_n)"
-    for size in (LONGER, LONGER**2):  # where either set has none, this says nothing
-        apart = " + ".join(f"bit_count(a_bits{size}[{i}] ^ b_bits{size}[{i}])" for i in range(size))
-        differ += f" AND NOT coalesce(({apart}) * {up + down} > {down - up} * (a_n + b_n), false)"
-    meet = f"a_id < b_id AND {lengths} AND {least} AND {differ}"
-    # a line goes if any earlier one matches: the likeliest is tried first, so a passage that stands everywhere gives each of its lines one candidate, not all pairs
-    likely = F.shiftleft(F.expr("CAST(bit_count(a_bits ^ b_bits) AS BIGINT)"), ID_BITS).bitwiseOR(F.col("a_id"))
-    best = a.join(b, "w").where(meet).groupBy("b_id").agg(F.min(likely).alias("m"))
-    pairs = common.materialize(best.select(F.col("m").bitwiseAND(F.lit((1 << ID_BITS) - 1)).alias("a_id"), "b_id"), "line-pairs")
+    first = _numbered(d, sets.where("first").drop("first"))
+    copies = sets.where("NOT first").select("doc", "pos")
+
+    found = _met(_blocks(_postings(first), first, hot), s, candidates)
+    pairs = common.materialize(found.select("a_id", "b_id").distinct(), "line-pairs")
     words = _words_of(d, first, pairs.selectExpr("a_id AS id").union(pairs.selectExpr("b_id AS id")).distinct())
-    done = common.materialize(_verified(pairs, words, s), "line-near")
-    near = [done.select("b_id")]
-    rest = common.materialize(pairs.join(done.select("b_id"), "b_id", "left_anti").select("b_id", F.col("a_id").alias("tried")), "line-rest")
+    done = common.materialize(_verified(pairs, words, s).select("b_id").distinct(), "line-near")
+    late = done
+    rest = common.materialize(found.where("more").select("b_id").distinct().join(done, "b_id", "left_anti").withColumnRenamed("b_id", "id"), "line-rest")
     n_rest = rest.count()
-    temporary = [first, copies, pairs, words, done, rest]
+    temporary = [sets, found, pairs, words, done, rest]
     if n_rest:
-        # the others are compared with every candidate: only postings of their own words are made again
-        own = _postings(first, "id", rest.select(F.col("b_id").alias("id")), n_rest).join(common.bounded_broadcast(rest, n_rest).withColumnRenamed("b_id", "id"), "id")
-        own = common.materialize(own, "line-postings")
-        n_own = own.count()
-        left = _side(own, "b", "tried")
-        more = _side(_postings(first, "w", own.select("w").distinct(), n_own), "a").join(common.bounded_broadcast(left, n_own), "w")
-        more = common.materialize(more.where(f"a_id <> tried AND {meet}").select("a_id", "b_id").distinct(), "line-pairs")
-        words = _words_of(d, first, more.selectExpr("a_id AS id").union(more.selectExpr("b_id AS id")).distinct())
-        near.append(_verified(more, words, s).select("b_id"))
-        temporary += [own, more, words]
-    late = near[0] if len(near) == 1 else near[0].union(near[1]).distinct()
+        # these are compared with every candidate: only postings of their own words are made again
+        asked = first.join(common.bounded_broadcast(rest.withColumn("asked", F.lit(True)), n_rest), "id", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        own = common.materialize(asked.where("asked").select(F.explode("prefix").alias("w")).distinct(), "line-asked")
+        some = _postings(asked, "asked").join(common.bounded_broadcast(own, own.count()), "w", "left_semi")
+        more = _met(_blocks(some, first, hot), s, None)
+        others = common.materialize(more.select("a_id", "b_id").distinct().join(pairs, ["a_id", "b_id"], "left_anti"), "line-pairs")
+        words = _words_of(d, first, others.selectExpr("a_id AS id").union(others.selectExpr("b_id AS id")).distinct())
+        late = late.union(_verified(others, words, s).select("b_id")).distinct()
+        temporary += [own, more, others, words]
     late = first.select("id", "doc", "pos").join(late.withColumnRenamed("b_id", "id"), "id").select("doc", "pos")
     out = common.materialize(copies.union(late).groupBy("doc").agg(F.collect_set("pos").alias("positions")), "line-removed")
     for t in temporary:

@@ -53,6 +53,16 @@ def test_against_brute_force(spark, seed):
     assert sorted(map(tuple, got.collect()), key=repr) == cleaned(rows, brute(rows))
 
 
+@pytest.mark.parametrize("limits", [{"candidates": 1}, {"hot": 3}, {"candidates": 1, "hot": 2}])
+def test_small_bounds_change_nothing(spark, limits):
+    """Few candidates at first, and words spread over blocks: the same lines go."""
+    rows = random_rows(3)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc"]: sorted(r["positions"]) for r in line_dedup.removed_lines(d, **limits).collect()}
+    names = {r["doc_id"]: r["doc"] for r in d.select("doc_id", F.xxhash64("doc_id", "text").alias("doc")).collect()}
+    assert got == {names[i]: sorted(p) for i, p in brute(rows).items()}
+
+
 @pytest.mark.parametrize("offset", [0, -5, 1 << 40])
 def test_ids_that_cannot_be_packed(spark, offset):
     """Negative, huge, null and repeated ids: lines are numbered by sorting. Texts of one id are ordered by hash, so only the number of lines that are left is compared."""

@@ -1,8 +1,12 @@
 """Quality rules whose thresholds come from the data: mergeable quantile sketches per language and source.
 
-Every document gets three measures; every (lang, source) group gets a KLL sketch of each. A group's sketch gives the fences of its rule;
-the sketches of small groups are merged up (source -> language -> everything) until there are enough documents. The documents are then
-joined with the fences of their group and filtered.
+Every document gets three measures; every (lang, source) group gets a sketch of each: the count of each bucket, a bucket being an octave cut into
+2 ** FINE steps, so a quantile is off by one part in 2 ** FINE at most, and by 2 ** -(FINE + OCTAVES) near zero. Two sketches merge by
+adding their counts, so the sums, and with them the fences, are the same however the rows are spread and merged. The quantiles of a source are drawn
+to those of its language, and these to those of all documents, as if PRIOR more documents of the larger group stood in the smaller: a small group takes the
+larger one's fences, and its own say grows with its size, without a step. The documents are then joined with the fences of their group and filtered.
+
+The text is measured in numpy over Arrow batches: character classes by one look into a table, words by one scan. Only the measures leave Python.
 
 Defined results for odd input:
 * null or empty text, or text without a word: rejected (it has no words), and not counted in any sketch;
@@ -15,8 +19,15 @@ Defined results for odd input:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+import sys
+import unicodedata
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -24,50 +35,103 @@ from . import common
 RULES = {"symbol_ratio": ("max", 8.0), "upper_ratio": ("max", 8.0), "distinct_ratio": ("min", 2.5)}
 #: Least spread of each measure: in a group of texts that are all alike, a small difference is no defect.
 MIN_SPREAD = {"symbol_ratio": 0.005, "upper_ratio": 0.005, "distinct_ratio": 0.04}
-MIN_GROUP = 30
-SKETCH_K = 2048
+#: Documents of the larger group that count with those of a group.
+PRIOR = 30
+FINE, OCTAVES = 9, 14
 #: Added to the length, so that a few symbols in a very short text don't count for much.
 SMOOTH = 100
-
-
-def measures(text: Column) -> dict[str, Column]:
-    t = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(F.lower(t), "[ \t\r\n]+"), lambda w: w != "")
-    length = F.length(t)
-    n = F.size(words)
-    return {
-        "n_words": n.cast("long"),
-        "symbol_ratio": F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s]+", "")) / (length + SMOOTH),
-        "upper_ratio": F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")) / (length + SMOOTH),
-        "distinct_ratio": F.when(n > 0, F.size(F.array_distinct(words)) / n),
-    }
-
-
-def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
-    return docs.select(*(common.col(c) for c in keep), *(c.alias(k) for k, c in measures(common.col("text")).items()))
-
-
-def thresholds(m: DataFrame, min_group: int = MIN_GROUP, k: int = SKETCH_K) -> DataFrame:
-    """One row for each (lang, source) in m: n_group, level (source, lang or all) and a fence for each rule."""
-    group = m.where("n_words > 0").groupBy("lang", "source").agg(F.count("*").alias("n_source"), *(F.kll_sketch_agg_double(c, k).alias(c) for c in RULES))
-    group = common.materialize(group, "quality-sketches")
-
-    def merged(df: DataFrame, n: str) -> list[Column]:
-        return [F.sum("n_source").alias(n), *(F.kll_merge_agg_double(c, k).alias(f"{c}_{n}") for c in RULES)]
-
-    lang = group.groupBy(F.col("lang").alias("lang_key")).agg(*merged(group, "n_lang"))
-    everything = group.agg(*merged(group, "n_all"))
-    g = group.join(lang, F.col("lang").eqNullSafe(F.col("lang_key"))).crossJoin(everything)
-    level = F.when(F.col("n_source") >= min_group, "source").when(F.col("n_lang") >= min_group, "lang").otherwise("all")
-    g = g.withColumn("level", level)
+CHARS_AT_ONCE = 1 << 18
+
+_WORD = re.compile("[^ \t\r\n]+")
+_SYMBOL, _UPPER = 1, 2
+_MEASURED = T.StructType([T.StructField("n_words", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in RULES)])
+_classes: list[np.ndarray] = []
+
+
+def _class_table() -> np.ndarray:
+    """_SYMBOL (no letter, number or white space) or _UPPER for each code point."""
+    if not _classes:
+        kinds = [unicodedata.category(chr(c)) for c in range(sys.maxunicode + 1)]
+        table = np.array([_UPPER if k == "Lu" else 0 if k[0] in "LN" else _SYMBOL for k in kinds], np.uint8)
+        table[[9, 10, 11, 12, 13, 32]] = 0
+        _classes.append(table)
+    return _classes[0]
+
+
+def _measured(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """n_words, symbol_ratio, upper_ratio, distinct_ratio of each text."""
+    kind = _class_table()[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+    length = np.array([len(t) for t in texts], np.int64)
+    ends = np.concatenate([[0], np.cumsum(length)])
+    symbols, uppers = (np.diff(np.searchsorted(np.flatnonzero(kind == k), ends)) for k in (_SYMBOL, _UPPER))
+    words = np.zeros((2, len(texts)), np.int64)
+    for i, t in enumerate(texts):
+        own = _WORD.findall(t.lower())
+        words[:, i] = len(own), len(set(own))
+    return words[0], symbols / (length + SMOOTH), uppers / (length + SMOOTH), words[1] / np.maximum(words[0], 1)
+
+
+@F.arrow_udf(_MEASURED)
+def _measures(text: pa.Array) -> pa.Array:
+    out, held, size = [_measured([])], [], 0
+    for t in text.to_pylist():
+        if held and size + len(t or "") > CHARS_AT_ONCE:
+            out.append(_measured(held))
+            held, size = [], 0
+        held.append(t or "")
+        size += len(t or "")
+    out.append(_measured(held))
+    n, symbols, uppers, distinct = (np.concatenate(x) for x in zip(*out))
+    return pa.StructArray.from_arrays([pa.array(n), pa.array(symbols), pa.array(uppers), pa.array(distinct, mask=n == 0)], ["n_words", "symbol_ratio", "upper_ratio", "distinct_ratio"])
+
+
+#: Never evaluated twice for one row: the optimizer doesn't copy what it takes for non-deterministic.
+measures = _measures.asNondeterministic()
+
+
+def _bucket(x: Column) -> Column:
+    """The lower end of the bucket of x (0 to 1). Powers of two only, so nothing is rounded."""
+    scale = F.lit(2.0 ** (FINE + OCTAVES + 1))
+    for octave in reversed(range(OCTAVES)):
+        scale = F.when(x >= 2.0 ** -(octave + 1), F.lit(2.0 ** (FINE + octave + 1))).otherwise(scale)
+    return F.floor(x * scale) / scale
+
+
+def _quantiles(sketch: DataFrame, keys: list[str], level: str) -> DataFrame:
+    """keys, rule and the level's number of documents, median and quartile on the lenient side."""
+    if keys:
+        sketch = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
+    else:
+        sketch = sketch.groupBy("rule", "bucket").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*keys, "rule")
+    s = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
+    lenient = F.when(F.col("rule").isin([c for c, (side, _) in RULES.items() if side == "max"]), 0.75).otherwise(0.25)
+    at = [F.min(F.when(F.col("upto") >= F.ceil(q * F.col("total")), F.col("bucket"))).alias(f"{name}_{level}") for name, q in (("mid", F.lit(0.5)), ("edge", lenient))]
+    return s.groupBy(*keys, "rule").agg(F.max("total").alias(f"n_{level}"), *at)
+
+
+def thresholds(m: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """One row for each (lang, source) in m: n_group and a fence for each rule."""
+    rules = F.inline(F.array(*(F.struct(F.lit(c).alias("rule"), _bucket(F.col(c)).alias("bucket")) for c in RULES)))
+    sketch = m.where("n_words > 0").select("lang", "source", rules).groupBy("lang", "source", "rule", "bucket").agg(F.count("*").alias("n"))
+    sketch = common.materialize(sketch, "quality-sketches")
+    lang = _quantiles(sketch, ["lang"], "lang").withColumnsRenamed({"lang": "l_lang", "rule": "l_rule"})
+    everything = _quantiles(sketch, [], "all").withColumnRenamed("rule", "a_rule")
+    g = _quantiles(sketch, ["lang", "source"], "source")
+    g = g.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("rule") == F.col("l_rule"))).join(F.broadcast(everything), F.col("rule") == F.col("a_rule"))  # a row for each rule
+
+    def drawn(x: str) -> Column:
+        of_lang = (F.col("n_lang") * F.col(f"{x}_lang") + prior * F.col(f"{x}_all")) / (F.col("n_lang") + prior)
+        return (F.col("n_source") * F.col(f"{x}_source") + prior * of_lang) / (F.col("n_source") + prior)
+
+    g = g.select("lang", "source", "rule", "n_source", drawn("mid").alias("mid"), drawn("edge").alias("edge"))
     fences = []
     for c, (side, spread) in RULES.items():
-        sketch = F.when(F.col("level") == "source", F.col(c)).when(F.col("level") == "lang", F.col(f"{c}_n_lang")).otherwise(F.col(f"{c}_n_all"))
-        q50 = F.kll_sketch_get_quantile_double(sketch, F.lit(0.5))
-        edge = F.kll_sketch_get_quantile_double(sketch, F.lit(0.75 if side == "max" else 0.25))
-        width = F.greatest(F.abs(edge - q50), F.lit(MIN_SPREAD[c]))
-        fences.append((q50 + F.lit(spread if side == "max" else -spread) * width).alias(f"{side}_{c}"))
-    return g.select("lang", "source", "level", *fences)
+        width = F.greatest(F.abs(F.col("edge") - F.col("mid")), F.lit(MIN_SPREAD[c]))
+        fences.append(F.max(F.when(F.col("rule") == c, F.col("mid") + F.lit(spread if side == "max" else -spread) * width)).alias(f"{side}_{c}"))
+    out = common.materialize(g.groupBy("lang", "source").agg(F.max("n_source").alias("n_group"), *fences), "quality-thresholds")
+    common.drop_table(sketch)
+    return out
 
 
 def _passes() -> Column:
@@ -78,24 +142,25 @@ def _passes() -> Column:
     return ok
 
 
-def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """The documents that pass every rule: doc_id, lang, source, the measures, and the fences they were held against."""
-    m = measured(docs, ["doc_id", "lang", "source"])
-    t = common.materialize(thresholds(m, min_group), "quality-thresholds")
+def _joined(m: DataFrame, t: DataFrame) -> DataFrame:
     t = common.bounded_broadcast(t.withColumnsRenamed({"lang": "t_lang", "source": "t_source"}), t.count())
-    joined = m.join(t, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")))
-    return joined.where(_passes()).drop("t_lang", "t_source")
+    return m.join(t, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source"))).where(_passes()).drop("t_lang", "t_source")
 
 
-def filter_documents(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """docs without those that break a rule; all columns stay as they are."""
-    m = measured(docs, ["lang", "source"])
-    t = common.materialize(thresholds(m, min_group), "quality-thresholds")
-    t = common.bounded_broadcast(t, t.count())
+def quality_rules(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """The documents that pass every rule: doc_id, lang, source, the measures, the size of their group and the fences they were held against."""
+    m = docs.select(*(common.col(c) for c in ("doc_id", "lang", "source")), measures(common.col("text")).alias("m")).select("doc_id", "lang", "source", "m.*")
+    m = common.materialize(m, "quality-measures")
+    return _joined(m, thresholds(m, prior))
+
+
+def filter_documents(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """docs without those that break a rule; all columns stay as they are. The text is measured twice, which costs less than storing or shuffling it."""
+    m = docs.select(common.col("lang").alias("lang"), common.col("source").alias("source"), measures(common.col("text")).alias("m")).select("lang", "source", "m.*")
+    t = thresholds(m, prior)
     row = F.struct(*(common.col(c) for c in docs.columns)).alias("row")
-    joined = docs.select(row).select("row", F.col("row.lang").alias("d_lang"), F.col("row.source").alias("d_source"), *(c.alias(k) for k, c in measures(F.col("row.text")).items()))
-    kept = joined.join(t, F.col("d_lang").eqNullSafe(F.col("lang")) & F.col("d_source").eqNullSafe(F.col("source"))).where(_passes())
-    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    again = docs.select(row).select("row", F.col("row.lang").alias("lang"), F.col("row.source").alias("source"), measures(F.col("row.text")).alias("m")).select("row", "lang", "source", "m.*")
+    return _joined(again, t).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,26 +175,29 @@ _MEASURES_SQL = r"""
 
 
 def _sql() -> str:
-    def quantile(c: str, q: float) -> str:
-        return f"list_extract(list_sort(list({c})), greatest(1, ceil({q} * count(*))::BIGINT))"
-
-    levels = {"source": "lang, source", "lang": "lang", "all": ""}
+    scale = "CASE " + " ".join(f"WHEN x >= {2.0**-(o + 1)!r} THEN {2 ** (FINE + o + 1)}.0::DOUBLE" for o in range(OCTAVES)) + f" ELSE {2 ** (FINE + OCTAVES + 1)}.0::DOUBLE END"
+    values = " UNION ALL ".join(f"SELECT lang, source, '{c}' AS rule, {0.75 if side == 'max' else 0.25} AS q, {c} AS x FROM m WHERE n_words > 0" for c, (side, _) in RULES.items())
     ctes = []
-    for level, keys in levels.items():
-        qs = ", ".join(f"{quantile(c, 0.5)} AS {c}_mid, {quantile(c, 0.75 if side == 'max' else 0.25)} AS {c}_edge" for c, (side, _) in RULES.items())
-        ctes.append(f"by_{level} AS (SELECT {keys + ', ' if keys else ''}count(*) AS n, {qs} FROM m WHERE n_words > 0 {'GROUP BY ' + keys if keys else ''})")
+    for level, keys in {"source": "lang, source, ", "lang": "lang, ", "all": ""}.items():
+        ctes.append(
+            f"c_{level} AS (SELECT {keys}rule, q, bucket, sum(count(*)) OVER (PARTITION BY {keys}rule ORDER BY bucket) AS upto, sum(count(*)) OVER (PARTITION BY {keys}rule) AS total FROM b GROUP BY {keys}rule, q, bucket), "
+            f"by_{level} AS (SELECT {keys}rule, max(total)::BIGINT AS n, min(bucket) FILTER (WHERE upto >= ceil(0.5::DOUBLE * total)) AS mid, min(bucket) FILTER (WHERE upto >= ceil(q::DOUBLE * total)) AS edge FROM c_{level} GROUP BY {keys}rule)"
+        )
 
-    def pick(c: str) -> str:
-        return f"CASE level WHEN 'source' THEN s.{c} WHEN 'lang' THEN l.{c} ELSE a.{c} END"
+    def drawn(x: str) -> str:
+        return f"(s.n * s.{x} + {PRIOR} * ((l.n * l.{x} + {PRIOR} * a.{x}) / (l.n + {PRIOR}))) / (s.n + {PRIOR})"
 
-    fences = ", ".join(f"{pick(c + '_mid')} + {spread if side == 'max' else -spread} * greatest(abs({pick(c + '_edge')} - {pick(c + '_mid')}), {MIN_SPREAD[c]}) AS {side}_{c}" for c, (side, spread) in RULES.items())
+    fences = ", ".join(f"max(CASE WHEN rule = '{c}' THEN mid + {spread if side == 'max' else -spread}::DOUBLE * greatest(abs(edge - mid), {MIN_SPREAD[c]}::DOUBLE) END) AS {side}_{c}" for c, (side, spread) in RULES.items())
     rule = " AND ".join(f"{c} {'<=' if side == 'max' else '>='} {side}_{c}" for c, (side, _) in RULES.items())
     return f"""
 WITH m AS (SELECT doc_id, lang, source, {_MEASURES_SQL} FROM documents),
+v AS ({values}),
+b AS (SELECT lang, source, rule, q, floor(x * {scale}) / {scale} AS bucket FROM v),
 {", ".join(ctes)},
-t AS (SELECT s.lang AS t_lang, s.source AS t_source, CASE WHEN s.n >= {MIN_GROUP} THEN 'source' WHEN l.n >= {MIN_GROUP} THEN 'lang' ELSE 'all' END AS level, {fences}
-      FROM by_source s JOIN by_lang l ON s.lang IS NOT DISTINCT FROM l.lang CROSS JOIN by_all a)
-SELECT doc_id, lang, source, n_words, symbol_ratio, upper_ratio, distinct_ratio, level, {", ".join(f"{side}_{c}" for c, (side, _) in RULES.items())}
+g AS (SELECT s.lang, s.source, s.rule, s.n, {drawn("mid")} AS mid, {drawn("edge")} AS edge
+      FROM by_source s JOIN by_lang l ON s.lang IS NOT DISTINCT FROM l.lang AND s.rule = l.rule JOIN by_all a ON s.rule = a.rule),
+t AS (SELECT lang AS t_lang, source AS t_source, max(n) AS n_group, {fences} FROM g GROUP BY lang, source)
+SELECT doc_id, lang, source, n_words, symbol_ratio, upper_ratio, distinct_ratio, n_group, {", ".join(f"{side}_{c}" for c, (side, _) in RULES.items())}
 FROM m JOIN t ON m.lang IS NOT DISTINCT FROM t_lang AND m.source IS NOT DISTINCT FROM t_source
 WHERE n_words > 0 AND {rule}"""
 

@@ -3,11 +3,12 @@
 Each source's documents stand in a fixed shuffled order (by hash of the id) and are cut into blocks of BLOCK_CHARS characters. A source of
 weight w has to have received w * t blocks after t slots; its block j (from 0) is released at slot floor(j / w) and due by slot
 ceil((j + 1) / w). In every slot the released block with the earliest deadline goes next. On one processor that meets every deadline, so at
-no time is a source a whole block ahead of its target or behind it.
+no time is a source a whole block ahead of its target or behind it. The weights are taken as they are given, as exact fractions; nothing is rounded, so
+this holds however long the mix is.
 
-The weights are rounded to multiples of 1 / PERIOD that sum to 1. After PERIOD slots every source has exactly its share and the schedule
-starts over, so only one period is simulated (on the driver; PERIOD slots, or 10 for each source if that is more); where block j of a source goes follows from its place in the period, by a
-join with that fixed table. Within a slot, documents keep their source's order.
+One task plans the slots, one after another, and writes them as a table, so the driver holds a number for each source and no more; that is one step
+for each BLOCK_CHARS characters (some 3 microseconds; 100 TB are 10 ** 8 slots, five minutes). The documents then meet the slots by source and
+block. Within a slot, documents keep their source's order.
 
 By default the target of a source is proportional to its size to the power TEMPERATURE, and every document has its slot: when a source has
 no block left, a new phase begins at that slot, with the others' weights renormalised and scheduled anew, until all is dealt. Each phase is
@@ -27,20 +28,21 @@ Defined results for odd input:
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
 from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK_CHARS = 1 << 16
-PERIOD = 1000
+BLOCK_CHARS = 1 << 20
 TEMPERATURE = 0.7
 #: Parts that a source's order is cut into, so that no task has a whole source.
-PARTS = 4096
+PARTS = 1 << 14
+SLOTS_AT_ONCE = 1 << 16
 
 Source = str | None
 
@@ -49,49 +51,57 @@ def _order(s: Source) -> tuple:
     return (s is None, s or "")
 
 
-def quotas(weights: dict[Source, float], period: int = PERIOD) -> dict[Source, int]:
-    """Blocks of each source in a period: its share rounded so that all sum to the period (largest remainders first, ties by name). A source of positive weight has at least one."""
+def schedule(weights: dict[Source, float]) -> Iterator[Source]:
+    """The source of each slot, without end: earliest deadline first among the released blocks. Weights are relative, and taken exactly."""
     live = sorted((s for s, w in weights.items() if w and w > 0), key=_order)
     if not live:
-        return {}
-    if len(live) > period:
-        raise ValueError("more sources than slots in a period")
-    total = sum(Fraction(weights[s]) for s in live)
-    exact = {s: Fraction(weights[s]) / total * (period - len(live)) for s in live}
-    out = {s: 1 + int(exact[s]) for s in live}
-    for s in sorted(live, key=lambda s: (int(exact[s]) - exact[s], _order(s)))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
-def schedule(quota: dict[Source, int]) -> list[Source]:
-    """The source of each slot of a period: earliest deadline first among the released blocks."""
-    period = sum(quota.values())
-    waiting: list[list[tuple]] = [[] for _ in range(period)]
-    for s, q in quota.items():
-        for j in range(q):
-            waiting[j * period // q].append((-(-(j + 1) * period // q), _order(s), s))
-    ready: list[tuple] = []
-    out = []
-    for slot in range(period):
-        for item in waiting[slot]:
-            heapq.heappush(ready, item[:2] + (len(ready), item[2]))
-        out.append(heapq.heappop(ready)[3])
-    return out
-
-
-def _placed(docs: DataFrame, extra: list[Column], block_chars: int, n_sources: int) -> DataFrame:
+        return
+    exact = [Fraction(weights[s]) for s in live]
+    scale = lcm(*(x.denominator for x in exact))
+    parts = [int(x * scale) for x in exact]
+    whole = sum(parts)
+    dealt = [0] * len(live)
+    ready: list[tuple[int, int]] = [(-(-whole // p), k) for k, p in enumerate(parts)]  # deadline, number of the source
+    heapq.heapify(ready)
+    waiting: list[tuple[int, int]] = []  # release, number
+    slot = 0
+    while True:
+        while waiting and waiting[0][0] <= slot:
+            k = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(dealt[k] + 1) * whole // parts[k]), k))
+        k = heapq.heappop(ready)[1]
+        dealt[k] += 1
+        heapq.heappush(waiting, (dealt[k] * whole // parts[k], k))
+        yield live[k]
+        slot += 1
+
+
+def planned(blocks: dict[Source, int], weights: dict[Source, float], whole: bool = True) -> Iterator[tuple[int, Source, int]]:
+    """The phase, the source and the number of its block of each slot. When a source has no block left for its slot, the others go on, scheduled anew; not whole: the end."""
+    dealt, phase = dict.fromkeys(blocks, 0), 0
+    while live := {s: weights[s] for s, n in blocks.items() if dealt[s] < n and (weights.get(s) or 0) > 0}:
+        for s in schedule(live):
+            if dealt[s] == blocks[s]:
+                break
+            yield phase, s, dealt[s]
+            dealt[s] += 1
+        if not whole:
+            return
+        phase += 1
+
+
+def _placed(docs: DataFrame, extra: list[Column], block_chars: int) -> DataFrame:
     """source, doc_id, h (place in the source's order), start (characters before it in its source), block, and the extra columns."""
     d = docs.select(common.col("source").cast("string").alias("source"), common.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length(common.col("text")), F.lit(0)).cast("long").alias("size"), F.xxhash64(common.col("text")).alias("th"), *extra)
     h = F.xxhash64(F.lit("mix"), "doc_id")
-    d = d.withColumn("h", h).withColumn("part", F.shiftrightunsigned("h", 64 - (PARTS.bit_length() - 1)).cast("int"))
-    sizes = d.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col("source").alias("p_source"), F.col("part").alias("p_part"), F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("part_start"))
-    own = Window.partitionBy("source", "part").orderBy("h", F.col("doc_id").asc_nulls_last(), "th").rowsBetween(Window.unboundedPreceding, -1)
-    placed = d.withColumn("start", F.coalesce(F.sum("size").over(own), F.lit(0)))
-    placed = placed.join(common.bounded_broadcast(sizes, n_sources * PARTS, 50 * PARTS), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("part") == F.col("p_part")))
-    return placed.withColumn("start", F.col("start") + F.col("part_start")).withColumn("block", F.floor(F.col("start") / block_chars).cast("long")).drop("p_source", "p_part", "part_start", "part", "th")
+    # a null source has a name of its own, so that the join with the sizes is by plain equality and takes over the window's partitioning
+    d = d.withColumn("h", h).withColumn("part", F.shiftrightunsigned("h", 64 - (PARTS.bit_length() - 1)).cast("int")).withColumn("name", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    sizes = d.groupBy("name", "part").agg(F.sum("size").alias("part_size"))
+    before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("name", "part", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("part_start"))
+    own = Window.partitionBy("name", "part").orderBy("h", F.col("doc_id").asc_nulls_last(), "th").rowsBetween(Window.unboundedPreceding, -1)
+    placed = d.withColumn("start", F.coalesce(F.sum("size").over(own), F.lit(0))).join(sizes.hint("merge"), ["name", "part"])
+    return placed.withColumn("start", F.col("start") + F.col("part_start")).withColumn("block", F.floor(F.col("start") / block_chars).cast("long")).drop("name", "part_start", "part", "th")
 
 
 def _sizes(docs: DataFrame) -> dict[Source, int]:
@@ -100,68 +110,50 @@ def _sizes(docs: DataFrame) -> dict[Source, int]:
     return {r["source"]: r["n"] or 0 for r in rows}
 
 
-def phases(blocks: dict[Source, int], weights: dict[Source, float], period: int = PERIOD, whole: bool = True) -> Iterator[tuple[int, int, dict[Source, tuple[int, int, int]], list[Source]]]:
-    """(first slot, number of slots, source -> (first block, block after the last, quota), sources of a period's slots) of each phase: until a
-    source has no block left for its slot, the next phase goes on with the others. Not whole: only the first phase."""
-    first, dealt = 0, dict.fromkeys(blocks, 0)
-    while live := [s for s, n in blocks.items() if dealt[s] < n and (weights.get(s) or 0) > 0]:
-        quota = quotas({s: weights[s] for s in live}, max(period, 10 * len(live)))
-        slots = schedule(quota)
-        at: dict[Source, list[int]] = {s: [] for s in live}
-        for slot, s in enumerate(slots):
-            at[s].append(slot)
-        left = {s: blocks[s] - dealt[s] for s in live}
-        length = min(left[s] // quota[s] * len(slots) + at[s][left[s] % quota[s]] for s in live)
-        spans = {s: (dealt[s], dealt[s] + length // len(slots) * quota[s] + bisect_left(at[s], length % len(slots)), quota[s]) for s in live}
-        yield first, length, spans, slots
-        if not whole:
-            return
-        first += length
-        dealt |= {s: past for s, (_, past, _) in spans.items()}
+def _slots(spark: SparkSession, blocks: dict[Source, int], weights: dict[Source, float], whole: bool) -> DataFrame:
+    """(t_source, t_block, slot) of the whole mix, planned by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            slots, first = planned(blocks, weights, whole), 0
+            while some := [x for _, x in zip(range(SLOTS_AT_ONCE), slots)]:
+                yield pa.RecordBatch.from_arrays([pa.array([s for _, s, _ in some], pa.string()), pa.array([b for *_, b in some], pa.int64()), pa.array(range(first, first + len(some)), pa.int64())], ["t_source", "t_block", "slot"])
+                first += len(some)
+
+    return common.materialize(spark.range(0, 1, 1, 1).mapInArrow(run, "t_source string, t_block long, slot long"), "mix-slots")
 
 
-def _mixed(docs: DataFrame, extra: list[Column], weights: dict[Source, float] | None, block_chars: int, period: int, whole: bool | None) -> DataFrame:
+def _mixed(docs: DataFrame, extra: list[Column], weights: dict[Source, float] | None, block_chars: int, whole: bool | None) -> DataFrame:
     """_placed() rows that are in the mix, with slot."""
     sizes = _sizes(docs)
-    period = max(period, 10 * len(sizes))
     blocks = {s: max(1, -(-n // block_chars)) for s, n in sizes.items()}
     if weights is None:
         weights = {s: max(1, n) ** TEMPERATURE for s, n in sizes.items()}
         whole = whole is None or whole
     if not whole and not all(sizes.get(s) for s, w in weights.items() if w and w > 0):
         blocks = {}
-    ranges, table = [], []
-    for phase, (first, length, spans, slots) in enumerate(phases(blocks, weights, period, bool(whole))):
-        ranges += [(s, phase, begin, past, quota, first, len(slots)) for s, (begin, past, quota) in spans.items() if begin < past]
-        seen = dict.fromkeys(spans, 0)
-        for slot, s in enumerate(slots[:length]):
-            table.append((s, phase, seen[s], slot))
-            seen[s] += 1
     spark = docs.sparkSession
+    slots = _slots(spark, blocks, weights, bool(whole))
     per_source = spark.createDataFrame([(s, n - 1) for s, n in blocks.items()], "b_source string, last_block long")
-    per_phase = spark.createDataFrame(ranges, "p_source string, p_phase int, p_begin long, p_past long, p_quota int, p_first long, p_period int")
-    per_slot = spark.createDataFrame(table, "t_source string, t_phase int, t_index int, t_slot int")
-    placed = _placed(docs, extra, block_chars, len(sizes)).join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("b_source"))).withColumn("block", F.least("block", "last_block"))
-    # fixed sizes: at most a row for each source in each phase, and for each slot of a phase's period; there are no more phases than sources
-    at = placed.join(F.broadcast(per_phase), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") >= F.col("p_begin")) & (F.col("block") < F.col("p_past")))
-    at = at.withColumn("k", F.col("block") - F.col("p_begin"))
-    at = at.join(common.bounded_broadcast(per_slot, len(table)), F.col("source").eqNullSafe(F.col("t_source")) & (F.col("p_phase") == F.col("t_phase")) & (F.col("k") % F.col("p_quota") == F.col("t_index")))
-    at = at.withColumn("slot", F.col("p_first") + F.floor(F.col("k") / F.col("p_quota")) * F.col("p_period") + F.col("t_slot"))
-    return at.drop("b_source", "last_block", "k", *per_phase.columns, *per_slot.columns)
-
-
-def mix(docs: DataFrame, weights: dict[Source, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD, whole: bool | None = None) -> DataFrame:
+    placed = _placed(docs, extra, block_chars).join(common.bounded_broadcast(per_source, len(blocks)), F.col("source").eqNullSafe(F.col("b_source"))).withColumn("block", F.least("block", "last_block"))
+    at = placed.join(common.bounded_broadcast(slots, sum(blocks.values())), F.col("source").eqNullSafe(F.col("t_source")) & (F.col("block") == F.col("t_block")))
+    return at.drop("b_source", "last_block", "t_source", "t_block")
+
+
+def mix(docs: DataFrame, weights: dict[Source, float] | None = None, block_chars: int = BLOCK_CHARS, whole: bool | None = None) -> DataFrame:
     """(slot, doc_id, source, block, in_block): the mix is these rows ordered by slot and in_block. Sources to relative weights; None: sizes to the
     power TEMPERATURE. whole: go on when a source runs out; None: where no weights are given."""
     in_block = Window.partitionBy("slot").orderBy("start", "h", F.col("doc_id").asc_nulls_last())
-    m = _mixed(docs, [], weights, block_chars, period, whole).withColumn("in_block", F.row_number().over(in_block).cast("long"))
+    m = _mixed(docs, [], weights, block_chars, whole).withColumn("in_block", F.row_number().over(in_block).cast("long"))
     return m.select("slot", "doc_id", "source", "block", "in_block")
 
 
-def mix_documents(docs: DataFrame, weights: dict[Source, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD, whole: bool | None = None) -> DataFrame:
+def mix_documents(docs: DataFrame, weights: dict[Source, float] | None = None, block_chars: int = BLOCK_CHARS, whole: bool | None = None) -> DataFrame:
     """The documents of the mix, all columns as they are, in its order: a file read after another by its part's number gives the interleaving (common.numbered())."""
     row = F.struct(*(common.col(c) for c in docs.columns)).alias("row")
-    m = _mixed(docs, [row], weights, block_chars, period, whole).orderBy("slot", "start", "h", F.col("doc_id").asc_nulls_last())
+    m = _mixed(docs, [row], weights, block_chars, whole).orderBy("slot", "start", "h", F.col("doc_id").asc_nulls_last())
     return m.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 

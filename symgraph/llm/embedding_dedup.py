@@ -1,9 +1,10 @@
 """Embedding near-duplicates by a hierarchical navigable small-world graph per shard.
 
 Vectors are spread over shards of about SHARD rows by hash; each shard builds its graph once and stores it. Then every vector queries every
-shard, a task for each (shard, chunk of queries). A beam that ends full of near vectors is widened for that query until it isn't or it
+shard, a task for each shard and chunk of about CHUNK queries. As every vector queries every shard, the number of searches is rows * rows / SHARD, each
+costing about the logarithm of SHARD: shards are as large as a task can hold (65536 vectors of 64 numbers and their links: 24 MB). A beam that ends full of near vectors is widened for that query until it isn't or it
 spans the shard. Each task audits itself: a sample of its queries is compared with a scan of the shard, and while recall is under RECALL
-the whole chunk is searched again with beams twice as wide (the widest being a scan). Pairs are verified by their exact cosine, and components
+the whole chunk is searched again with beams twice as wide, up to one that spans the shard; only if that fails its audit, too, is the shard scanned. Pairs are verified by their exact cosine, and components
 united over all tasks; a task emits a spanning forest of its pairs, so large groups stay linear in output.
 
 Insertion and search run over batches: all queries of a batch take a step of their beam searches together, in numpy.
@@ -21,7 +22,7 @@ import io
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -29,7 +30,8 @@ from .simhash import forest
 
 COSINE = 0.95
 RECALL = 0.95
-SHARD = 8192
+SHARD = 1 << 16
+CHUNK = 1 << 13
 LINKS = 12
 BEAM = 32
 BUILD_BEAM = 48
@@ -40,40 +42,39 @@ NEAREST = 5
 
 
 def _search(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
-    """Beam search on one layer: (ids, cosines), best first, -1 and -inf where there are fewer than ef. start: entry points of each query (-1: none)."""
-    n, rows = len(q), np.arange(len(q))[:, None]
-    step = max(2, ef // 16)
+    """Beam search on one layer: (ids, cosines) of ef each, best first, -1 and -inf where there are fewer. start: the entry point of each query."""
+    n, step = len(q), max(2, ef // 8)
     seen = np.zeros((n, len(x) + 1), bool)  # the last column is that of -1
     seen[:, -1] = True
-    ids = start.astype(np.int32)
-    cos = np.where(ids >= 0, np.einsum("bd,bkd->bk", q, x[ids]), -np.inf)
-    seen[rows, ids] = True
-    done = ids < 0
-    while True:
-        order = np.argsort(-cos, axis=1, kind="stable")[:, :ef]
-        ids, cos, done = ids[rows, order], cos[rows, order], done[rows, order]
-        go = np.flatnonzero(~done.all(axis=1))
-        if not len(go):
-            break
-        pick = np.argsort(done[go], axis=1, kind="stable")[:, :step]  # the best that aren't expanded
-        live = ~done[go[:, None], pick]
-        done[go[:, None], pick] = True
-        near = np.where(live[:, :, None], links[ids[go[:, None], pick]], -1).reshape(len(go), -1)
-        near = np.sort(near, axis=1)
+    seen[np.arange(n), start[:, 0]] = True
+    ids, cos, done = np.full((n, ef), -1, np.int32), np.full((n, ef), -np.inf, np.float32), np.ones((n, ef), bool)
+    ids[:, 0], cos[:, 0], done[:, 0] = start[:, 0], np.einsum("bd,bd->b", q, x[start[:, 0]]), False
+    go = np.arange(n)
+    while len(go):
+        i, c, d, rows = ids[go], cos[go], done[go], np.arange(len(go))[:, None]
+        pick = np.argsort(d, axis=1, kind="stable")[:, :step]  # the best that aren't expanded
+        live = ~d[rows, pick]
+        d[rows, pick] = True
+        near = np.where(live[:, :, None], links[i[rows, pick]], -1).reshape(len(go), -1)
+        near.sort(axis=1)
         near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
         near[seen[go[:, None], near]] = -1
-        seen[go[:, None], near] = True
-        new = np.full((n, near.shape[1]), -1, np.int32)
-        new[go] = near
-        new_cos = np.full(new.shape, -np.inf, np.float32)
-        new_cos[go] = np.where(near >= 0, np.einsum("bd,bkd->bk", q[go], x[near]), -np.inf)
-        ids, cos, done = np.concatenate([ids, new], 1), np.concatenate([cos, new_cos], 1), np.concatenate([done, new < 0], 1)
+        r, k = np.nonzero(near >= 0)
+        new = near[r, k]
+        seen[go[r], new] = True
+        new_cos = np.full(near.shape, -np.inf, np.float32)
+        new_cos[r, k] = np.einsum("nd,nd->n", q[go[r]], x[new])
+        i, c, d = np.concatenate([i, near], 1), np.concatenate([c, new_cos], 1), np.concatenate([d, near < 0], 1)
+        order = np.argsort(-c, axis=1)[:, :ef]
+        ids[go], cos[go], done[go] = i[rows, order], c[rows, order], d[rows, order]
+        go = go[~done[go].all(axis=1)]
     return ids, cos
 
 
 def _diverse(x: np.ndarray, ids: np.ndarray, cos: np.ndarray, most: int) -> np.ndarray:
     """Of each row's candidates (best first), those nearer to the row's vector than to any taken before; then the best of the rest."""
-    among = np.einsum("bkd,bjd->bkj", x[ids], x[ids])
+    own = x[ids]
+    among = own @ own.transpose(0, 2, 1)
     taken = np.zeros(ids.shape, bool)
     for k in range(ids.shape[1]):
         blocked = (taken & (among[:, k] > cos[:, k, None])).any(axis=1)
@@ -133,7 +134,6 @@ def build(x: np.ndarray, seed: int = 11) -> tuple[list[np.ndarray], int]:
     return links, 0
 
 
-
 def query_shard(x: np.ndarray, links: list[np.ndarray], entry: int, q: np.ndarray, cosine: float = COSINE, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) pairs of q and the shard's unit vectors x whose cosine may be `cosine` or more, with at least that recall on an audited sample."""
     loose = cosine - 1e-5  # 32-bit; exact cosines decide later
@@ -145,25 +145,19 @@ def query_shard(x: np.ndarray, links: list[np.ndarray], entry: int, q: np.ndarra
         left, right, near = [], [], []
         for i in range(0, len(rows), BATCH):
             part = rows[i : i + BATCH]
-            if 4 * ef >= len(x):
-                cos = q[part] @ x.T
-                a, b = np.nonzero(cos >= loose)
-                near.append(np.argsort(-cos, axis=1, kind="stable")[:, :NEAREST])
-            else:
-                start = np.full((len(part), 1), entry, np.int32)
-                for layer in range(len(links) - 1, 0, -1):
-                    start = _search(x, links[layer], q[part], start, 1)[0][:, :1]
-                ids, cos = _search(x, links[0], q[part], start, ef)
-                near.append(np.pad(ids, ((0, 0), (0, max(0, NEAREST - ids.shape[1]))), constant_values=-1)[:, :NEAREST])
-                filled = (cos[:, -1] >= loose) & (ids.shape[1] >= ef)  # there may be more: these go again, wider
-                a, k = np.nonzero((cos >= loose) & ~filled[:, None])
-                b = ids[a, k]
-                if filled.any():
-                    l2, r2, _ = beams(part[filled], 2 * ef)
-                    left.append(l2)
-                    right.append(r2)
+            start = np.full((len(part), 1), entry, np.int32)
+            for layer in range(len(links) - 1, 0, -1):
+                start = _search(x, links[layer], q[part], start, 1)[0][:, :1]
+            ids, cos = _search(x, links[0], q[part], start, ef)
+            near.append(ids[:, :NEAREST])
+            filled = (cos[:, -1] >= loose) & (ef < len(x))  # there may be more: these go again, wider
+            a, k = np.nonzero((cos >= loose) & ~filled[:, None])
+            if filled.any():
+                l2, r2, _ = beams(part[filled], 2 * ef)
+                left.append(l2)
+                right.append(r2)
             left.append(part[a])
-            right.append(np.asarray(b, np.int64))
+            right.append(ids[a, k].astype(np.int64))
         return np.concatenate(left), np.concatenate(right), np.concatenate(near)
 
     everyone = np.arange(len(q))
@@ -183,9 +177,18 @@ def query_shard(x: np.ndarray, links: list[np.ndarray], entry: int, q: np.ndarra
         found = np.zeros((len(sample), len(x) + 1), bool)
         found[np.arange(len(sample))[:, None], near[sample]] = True
         ok &= found[:, :-1].sum() >= recall * np.minimum((truth >= fifth[:, None]).sum(axis=1), NEAREST).sum()
-        if ok or 4 * ef >= len(x):
+        if ok:
             return left, right
+        if ef >= len(x):
+            break
         ef *= 2
+    # a graph that doesn't lead everywhere: scan
+    left, right = [], []
+    for i in range(0, len(q), BATCH):
+        a, b = np.nonzero(q[i : i + BATCH] @ x.T >= loose)
+        left.append(a + i)
+        right.append(b)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
@@ -224,21 +227,27 @@ def _queried(cosine: float, recall: float):
     return run
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float = RECALL, shard: int = SHARD) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float = RECALL, shard: int = SHARD, chunk: int = CHUNK) -> DataFrame:
     """(vec_id, duplicate_of) for every vector but the first of each group; duplicate_of is the least vec_id of its group."""
     e = common.col("embedding")
     v = embeddings.select(common.col("vec_id").cast("long").alias("id"), e.cast("array<float>").alias("e"))
     finite = F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     v = v.where(F.col("id").isNotNull() & (F.size("e") > 0) & finite & F.exists("e", lambda c: c != 0)).withColumn("dim", F.size("e"))
-    v = common.materialize(v, "embedding-vectors")
-    shards = max(1, -(-v.count() // shard))
-    v = v.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    vectors = common.materialize(v, "embedding-vectors")
+    n = vectors.count()
+    shards, chunks = max(1, -(-n // shard)), max(1, -(-n // chunk))
+    v = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("chunk")), F.lit(chunks)).cast("int"))
     graphs = common.materialize(v.groupBy("dim", "shard").applyInArrow(_built, "dim int, shard int, graph binary"), "embedding-graphs")
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    left = graphs.withColumn("chunk", every).groupBy("dim", "shard", "chunk")
-    right = v.select("id", "e", "dim", F.col("shard").alias("chunk"), every.alias("shard")).groupBy("dim", "shard", "chunk")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = graphs.withColumn("chunk", every(chunks)).groupBy("dim", "shard", "chunk")
+    right = v.select("id", "e", "dim", "chunk", every(shards).alias("shard")).groupBy("dim", "shard", "chunk")
     edges = left.cogroup(right).applyInArrow(_queried(cosine, recall), "a long, b long")
     roots = common.connected_components(edges, "embedding-components")
+    for t in (vectors, graphs):
+        common.drop_table(t)
     return roots.where("id <> root").selectExpr("id AS vec_id", "root AS duplicate_of")
 
 

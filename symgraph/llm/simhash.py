@@ -2,8 +2,9 @@
 
 A document's signature is 128 bits: for each bit, whether most of its distinct words have it set in their hash. Documents of equal
 signature are one group at once. The others are found by bit sampling: a few tables, each keyed by some sampled bits; how many bits and
-tables follows from the number of signatures, so that a bucket stays small and a pair at the very radius is met with probability
-RECALL or more (nearer pairs more surely). Every document is a query: within a bucket, each is compared with every later one.
+tables follows from the number of signatures, so that a bucket stays small and, at any number, a pair at the very radius is met with probability
+RECALL or more; expected_recall() gives it by distance (at half the radius it is 0.9999). Every document is a query: within a bucket, each is compared with
+every later one. A bucket of more than HOT signatures is spread over blocks, each pair of blocks a bucket of its own.
 
 The comparison is vertical. 64 signatures of a bucket make a block, stored as 128 bit planes of 64 lanes; a query flips a plane where its
 own bit is set, and the planes run through carry-save adders into bitwise counters, which holds 64 distances at once. After every 16
@@ -37,11 +38,14 @@ BITS = 128
 #: Largest distance of a near copy.
 RADIUS = 18
 #: Least chance that a pair at the radius shares a bucket.
-RECALL = 0.95
+RECALL = 0.99
 #: Signatures in a bucket, on average, if they were random.
 BUCKET = 64
 PAIRS_AT_ONCE = 1 << 14
+ROWS_AT_ONCE = 1 << 14
 WORDS_AT_ONCE = 1 << 14
+#: Signatures of a bucket that a task compares at once.
+HOT = 1 << 16
 
 _WORD = re.compile(r"\w+")
 
@@ -71,14 +75,25 @@ def signatures(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(_signatures, "doc_id long, h0 long, h1 long")
 
 
+def _agree(k: int, distance: int) -> float:
+    """The chance that k different bits are none of those in which two signatures differ."""
+    return math.comb(BITS - distance, k) / math.comb(BITS, k)
+
+
 def plan(n: int, radius: int = RADIUS, recall: float = RECALL) -> list[np.ndarray]:
     """The bits that each table samples, for n signatures."""
     k = max(8, math.ceil(math.log2(max(n, 1) / BUCKET))) if n > BUCKET else 8
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - radius / BITS) ** k))
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - _agree(k, radius)))
     rng = np.random.default_rng(20)
     return [np.sort(rng.choice(BITS, k, replace=False)) for _ in range(tables)]
 
 
+def expected_recall(n: int, distance: int, radius: int = RADIUS, recall: float = RECALL) -> float:
+    """The chance that two of n signatures, this far apart, share a bucket."""
+    tables = plan(n, radius, recall)
+    return 1 - (1 - _agree(len(tables[0]), distance)) ** len(tables)
+
+
 def _unpack(h0: np.ndarray, h1: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.stack([h0, h1], axis=1).view(np.uint8), axis=1)
 
@@ -196,48 +211,33 @@ def _keyed(tables: list[np.ndarray]):
 
 def _compared(radius: int):
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-
-        def edges(rows: pa.Table) -> pa.RecordBatch:
+        for rows in common.whole_groups(batches, "key", ROWS_AT_ONCE):
             key, ids, h0, h1 = (rows[c].to_numpy() for c in ("key", "id", "h0", "h1"))
             starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
             a, b = forest(len(ids), *matches(_unpack(h0, h1), starts, radius))
-            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if rest and batch["key"][-1] == rest[0]["key"][0]:
-                rest.append(batch)
-                continue
-            # all but the last bucket are complete
-            rows = pa.Table.from_batches([*rest, batch]).combine_chunks()
-            key = rows["key"].to_numpy()
-            cut = int(np.searchsorted(key == key[-1], True))
-            if cut:
-                yield edges(rows.slice(0, cut))
-            rest = rows.slice(cut).to_batches()
-        if rest:
-            yield edges(pa.Table.from_batches(rest).combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
     return compared
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, hot: int = HOT) -> DataFrame:
     """(doc_id, duplicate_of) for every document but the first of each group; duplicate_of is the least doc_id of its group."""
     sig = common.materialize(signatures(docs), "simhash-signatures")
     reps = common.materialize(sig.groupBy("h0", "h1").agg(F.min("doc_id").alias("id")), "simhash-distinct")
     tables = plan(reps.count(), radius, recall)
-    keyed = reps.mapInArrow(_keyed(tables), "key long, id long, h0 long, h1 long")
+    keyed = common.blocked(reps.mapInArrow(_keyed(tables), "key long, id long, h0 long, h1 long"), "key", "id", hot)
     edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(radius), "a long, b long")
     roots = common.connected_components(edges, "simhash-components")
     first = reps.join(roots, "id", "left").select("h0", "h1", F.coalesce("root", "id").alias("duplicate_of"))
-    return sig.join(first, ["h0", "h1"]).where("doc_id <> duplicate_of").select("doc_id", "duplicate_of").distinct()
+    out = common.materialize(sig.join(first, ["h0", "h1"]).where("doc_id <> duplicate_of").select("doc_id", "duplicate_of").distinct(), "simhash-copies")
+    for t in (sig, reps):
+        common.drop_table(t)
+    return out
 
 
 def keep_documents(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
     """docs with one document of each group of near copies."""
-    drop = common.materialize(near_duplicates(docs, radius, recall).select(F.col("doc_id").alias("drop_id")), "simhash-drop")
+    drop = near_duplicates(docs, radius, recall).select(F.col("doc_id").alias("drop_id"))
     again = common.materialize(docs.groupBy(common.col("doc_id").alias("again_id")).count().where("count > 1 AND again_id IS NOT NULL").select("again_id"), "simhash-again")
     row = docs.select(F.struct(*(common.col(c) for c in docs.columns)).alias("row"))
     kept = row.join(common.bounded_broadcast(drop, drop.count()), F.col("row.doc_id") == F.col("drop_id"), "left_anti")

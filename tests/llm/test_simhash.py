@@ -42,14 +42,16 @@ def near_copies(seed, n=120):
 
 
 def test_recall_against_brute_force(spark):
+    """Of the pairs within the radius, so many are in one group; and nothing else is a copy."""
     found = wanted = 0
     for seed in range(2):
-        texts = near_copies(seed)
+        texts = near_copies(seed, 200)
         got = {r["doc_id"]: r["duplicate_of"] for r in simhash.near_duplicates(data.docs(spark, texts)).collect()}
-        want = brute(texts)
-        assert got.keys() <= want.keys(), "only true near copies"
-        found, wanted = found + sum(got.get(k) == v for k, v in want.items()), wanted + len(want)
-    assert wanted and found >= 0.9 * wanted
+        assert got.keys() <= brute(texts).keys(), "only true near copies"
+        bits = np.array([np.unpackbits(np.frombuffer(simhash.signature(t), np.uint8)) for t in texts])
+        near = [(i, j) for i in range(len(texts)) for j in range(i) if (bits[i] != bits[j]).sum() <= simhash.RADIUS]
+        found, wanted = found + sum(got.get(i, i) == got.get(j, j) for i, j in near), wanted + len(near)
+    assert wanted > 100 and found >= simhash.RECALL * wanted
 
 
 @settings(max_examples=20, deadline=None)
@@ -79,3 +81,24 @@ def test_a_group_of_many_copies(spark):
     texts = ["some words that are copied very often indeed"] * 400 + ["something else entirely, and not like it"]
     got = simhash.near_duplicates(data.docs(spark, texts)).collect()
     assert len(got) == 399 and {r["duplicate_of"] for r in got} == {0}
+
+
+def test_a_hot_bucket_in_blocks(spark):
+    """Buckets of more rows than a task takes give the same groups."""
+    texts = near_copies(5, 80)
+    d = data.docs(spark, texts)
+    assert {tuple(r) for r in simhash.near_duplicates(d, hot=5).collect()} == {tuple(r) for r in simhash.near_duplicates(d).collect()}
+
+
+def test_the_promised_recall_holds_at_any_size():
+    """By the formula at the radius and nearer; and measured, on pairs at the radius, with the plans of two sizes."""
+    rng = np.random.default_rng(0)
+    for n in (1_000, 1_000_000, 10**10):
+        assert simhash.expected_recall(n, simhash.RADIUS) >= simhash.RECALL and simhash.expected_recall(n, simhash.RADIUS // 2) > 0.9999
+    for n in (1_000, 1_000_000):
+        tables = simhash.plan(n)
+        far = np.array([rng.choice(simhash.BITS, simhash.RADIUS, replace=False) for _ in range(2000)])
+        apart = np.zeros((2000, simhash.BITS), bool)
+        apart[np.arange(2000)[:, None], far] = True
+        met = np.any([~apart[:, t].any(axis=1) for t in tables], axis=0)
+        assert met.mean() >= simhash.RECALL - 0.01

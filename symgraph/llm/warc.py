@@ -10,7 +10,8 @@ Defined results for odd input:
 * null or empty html: a record with an empty body; a null url: the WARC-Target-URI is left out; line ends and blanks at the ends of a url are dropped;
 * very long pages are archived whole (a file takes at least one record, whatever its size);
 * repeated rows are records of their own; ties don't arise: records stand in their order in the table;
-* an empty table gives no file and no row; too few records for a dictionary: an empty one (a skippable frame of length 0), plain frames follow;
+* an empty table gives no file and no row; records that no dictionary can be trained on (too few, or nothing in common): the last of them, as a dictionary
+  without tables;
 * extra columns are not read.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -49,13 +51,12 @@ def record(url: str | None, html: str | None, date: str = DATE) -> tuple[bytes,
 
 
 def dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """Trained on all the records; empty where they are too few or too small for one."""
-    if len(records) < 16 or sum(map(len, records)) < 8 * size:
-        return b""
+    """Trained on all the records, of an eighth of their size (DICTIONARY_BYTES at most); where that can't be done, a piece of the records themselves."""
+    size = max(256, min(size, sum(map(len, records)) // 8))
     try:
-        return zstandard.train_dictionary(size, records, k=1024, d=8, f=20, accel=1, split_point=1.0, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, records, k=min(1024, size // 4), d=8, f=20, accel=1, split_point=1.0, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(records[-16:])[-size:]
 
 
 def archive(records: list[bytes]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -63,7 +64,7 @@ def archive(records: list[bytes]) -> tuple[bytes, list[tuple[int, int]]]:
     trained = dictionary(records)
     out = io.BytesIO()
     out.write(struct.pack("<II", MAGIC, len(trained)) + trained)
-    packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
+    packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, dict_data=zstandard.ZstdCompressionDict(trained))
     places = []
     for r in records:
         at = out.tell()
@@ -89,7 +90,8 @@ def parse(raw: bytes) -> dict:
 
 
 def _store(folder: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a folder given as a path or URI."""
+    """The file system of a folder given as a path or URI: local, or what pyarrow has (s3, gs, abfss; hdfs where libhdfs is installed). Spark's names for these are known."""
+    folder = re.sub("^s3[an]://", "s3://", folder)
     if folder.startswith("file:"):
         folder = unquote(urlparse(folder).path)
     return pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)

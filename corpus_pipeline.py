@@ -2,6 +2,17 @@
 
 Each stage takes all that its predecessor kept, written as Parquet and read again, and its decisions take effect. All but the last return the
 columns of documents; the last returns the encoded mix, with each row's position in it.
+
+Defined results for odd input, stage by stage (each is its operator's, whose module says more):
+* quality_rules: a null or empty text, or one without a word, goes; null lang or source is a group of its own; a tie on a fence stays; rows that repeat are judged alike;
+* line_dedup: a null or empty text stays as it is; a document of which nothing is left goes; rows that repeat a document stay or go alike; long lines are compared whole;
+* near_dedup: a text without a word, or without an id, stays; of a group of near copies, and of rows that repeat a doc_id, one stays (least doc_id, then least text);
+* source_mixing: no row goes, whatever is null; ties by source name, then doc_id, then text;
+* byte_bpe: a null text has null ids, an empty one none; every row has its position;
+* an empty table gives an empty one at every stage; extra columns pass through all but the last, whatever they are called; texts are never cut.
+
+Near copies are looked for after line dedup, as the stages are ordered: what line dedup has left of a later copy are the lines that differ from the
+earlier one's, so few near copies are left to find there (README has the figures).
 """
 
 from __future__ import annotations

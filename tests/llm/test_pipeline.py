@@ -57,9 +57,9 @@ def test_the_mix_keeps_its_order_in_the_last_stage(spark):
     rows = [(i, f"{i} " * (1 + 40 * (i * 7919 % 23)), "en", "abc"[i % 3 if i < 900 else 0], 0) for i in range(1200)]
     d = spark.createDataFrame(rows, data.DOCS)
     stages = dict(corpus_pipeline.STAGES)
-    mixed = common.materialize(mixing.mix_documents(d, block_chars=2000, period=20), "t")
-    want = [r["doc_id"] for r in mixing.mix(d, block_chars=2000, period=20).orderBy("slot", "in_block").collect()]
-    for frame in (mixed, mixing.mix_documents(d, block_chars=2000, period=20)):
+    mixed = common.materialize(mixing.mix_documents(d, block_chars=2000), "t")
+    want = [r["doc_id"] for r in mixing.mix(d, block_chars=2000).orderBy("slot", "in_block").collect()]
+    for frame in (mixed, mixing.mix_documents(d, block_chars=2000)):
         last = common.materialize(stages["byte_bpe"](spark, frame, ""), "t")
         got = sorted((r["position"], r["doc_id"]) for r in last.collect())
         assert [p for p, _ in got] == list(range(1200)) and [i for _, i in got] == want

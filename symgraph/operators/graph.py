@@ -102,13 +102,25 @@ def file_dependents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return file_edges(nodes, edges).select(F.col("target").alias("file"), F.col("source").alias("dependent"))
 
 
-def affected(dependents: DataFrame, changed: DataFrame, known: DataFrame, depth: int = 5, pattern: str | None = None) -> DataFrame:
-    """(file, depth): test files that a change of `changed` (file) may break: reached over at most depth dependents, or in the folder of a changed file that is no test itself (depth 0)."""
-    back = dependents.select(F.col("file").alias("source"), F.col("dependent").alias("target"))
-    reached = reach(back, changed, depth, "file")
-    folders = changed.where(~paths.is_test(F.col("file"), pattern)).select(paths.dirname(F.col("file")).alias("folder")).distinct()
-    beside = known.select("file").withColumn("folder", paths.dirname(F.col("file"))).join(folders, "folder", "left_semi").select("file", F.lit(0).alias("depth"))
-    both = reached.unionByName(beside).where(paths.is_test(F.col("file"), pattern))
+def affected(imports: DataFrame, packages: DataFrame, changed: DataFrame, depth: int = 5, pattern: str | None = None) -> DataFrame:
+    """(file, depth): test files that a change of `changed` (file) may break. imports: (file, name); packages: (file, package) of every file.
+
+    Level 0 are the changed files; the next level are the files that import the package of one of this level, or one below it. `depth` levels are visited in all.
+    Tests are those among the visited, and those in the folder of a visited file that is no test itself.
+    """
+    meet = materialize(importers(imports, packages), "importers")
+    level = materialize(changed.select("file", F.lit(0).alias("depth")).distinct(), "affected")
+    seen = level
+    for step in range(1, depth):
+        named = level.join(packages, "file").select("package").distinct()
+        near = meet.join(named, "package", "left_semi").select("file").distinct()
+        level = materialize(near.join(seen, "file", "left_anti").select("file", F.lit(step).alias("depth")), "affected")
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    folders = seen.where(~paths.is_test(F.col("file"), pattern)).groupBy(paths.dirname(F.col("file")).alias("folder")).agg(F.min("depth").alias("depth"))
+    beside = packages.select("file", paths.dirname(F.col("file")).alias("folder")).distinct().join(folders, "folder").select("file", "depth")
+    both = seen.unionByName(beside).where(paths.is_test(F.col("file"), pattern))
     return both.groupBy("file").agg(F.min("depth").cast("long").alias("depth"))
 
 
@@ -147,11 +159,14 @@ def pinned(defs: DataFrame, pins: DataFrame) -> DataFrame:
 
 
 def nearest_package(files: DataFrame, manifests: DataFrame) -> DataFrame:
-    """(file, package): of the manifests (folder, package) the one in the nearest folder above the file, with the folders between; else the last part of the file's folder."""
+    """(file, package): of the manifests (folder, package, rank) the one of the highest rank, then in the nearest folder above the file, with the folders between; else the last part of the file's folder."""
     folder = paths.dirname(F.col("file"))
     f = files.select("file").distinct().withColumn("own", folder)
     up = f.select("file", "own", F.explode(F.array_distinct(F.concat(paths.ancestors(F.col("own")), F.array(F.lit(""))))).alias("folder"))
-    best = up.join(manifests.groupBy("folder").agg(F.min("package").alias("package")), "folder").groupBy("file").agg(F.max(F.struct(F.length("folder").alias("n"), "folder", "package")).alias("b"))
+    if "rank" not in manifests.columns:
+        manifests = manifests.withColumn("rank", F.lit(0))
+    one = manifests.groupBy("folder", "rank").agg(F.min("package").alias("package"))
+    best = up.join(one, "folder").groupBy("file").agg(F.max(F.struct("rank", F.length("folder").alias("n"), "folder", "package")).alias("b"))
     j = f.join(best, "file", "left")
     start = F.when(F.col("b.n") > 0, F.col("b.n") + 2).otherwise(1)
     below = F.substring(F.col("own"), start, F.length("own"))

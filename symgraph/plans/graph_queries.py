@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..operators import explore, graph, linking, resolve, store
 from ..sources import graph_tables as t
 from ..sources.graph_tables import GRAPH_SQL, REFS_SQL
@@ -88,14 +89,21 @@ def flow_path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "affected_bfs",
-    f"""WITH RECURSIVE {GRAPH_SQL}, d AS (SELECT DISTINCT t.file, s.file AS dependent FROM walked e JOIN nodes s ON e.source_id = s.id JOIN nodes t ON e.target_id = t.id WHERE s.file <> t.file),
-r(file, depth) AS (SELECT DISTINCT file, 0 FROM nodes WHERE kind = 'interface' UNION SELECT d.dependent, r.depth + 1 FROM r JOIN d ON d.file = r.file WHERE r.depth < 5)
-SELECT file, min(depth)::BIGINT AS depth FROM r WHERE regexp_matches(file, '^orders/[^/]*/[^/]*$') GROUP BY file""",
+    f"""WITH RECURSIVE {GRAPH_SQL},
+pk AS (SELECT DISTINCT file, {_dir_sql("file")} AS package FROM nodes),
+imp AS (SELECT DISTINCT s.file, {_dir_sql("t.file")} AS name FROM walked e JOIN nodes s ON e.source_id = s.id JOIN nodes t ON e.target_id = t.id WHERE s.file <> t.file),
+who AS (SELECT DISTINCT p.package, i.file FROM (SELECT DISTINCT package FROM pk) p JOIN imp i ON i.name = p.package OR starts_with(i.name, p.package || '/')),
+visited(file, depth) AS (SELECT DISTINCT file, 0 FROM nodes WHERE kind = 'interface'
+  UNION SELECT who.file, v.depth + 1 FROM visited v JOIN pk ON pk.file = v.file JOIN who ON who.package = pk.package WHERE v.depth < 4),
+near AS (SELECT pk.file, v.depth FROM visited v JOIN pk ON pk.package = {_dir_sql("v.file")} WHERE NOT regexp_matches(v.file, '(^|/)[^/]*[5-9]$'))
+SELECT file, min(depth)::BIGINT AS depth FROM (SELECT * FROM visited UNION ALL SELECT * FROM near) WHERE regexp_matches(file, '(^|/)[^/]*[5-9]$') GROUP BY file""",
 )
 def affected_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = t.nodes(spark, sf_dir)
-    d = materialize(graph.file_dependents(n, t.edges(spark, sf_dir)), "dependents")
-    return graph.affected(d, n.where("kind = 'interface'").select("file").distinct(), n.select("file").distinct(), 5, "orders/*/*")
+    """Folders stand for packages, and a file whose name ends in 5 to 9 for a test."""
+    n, e = t.nodes(spark, sf_dir), t.edges(spark, sf_dir)
+    imports = materialize(graph.file_edges(n, e).select(F.col("source").alias("file"), paths.dirname(F.col("target")).alias("name")).distinct(), "imports")
+    packages = materialize(n.select("file", paths.dirname(F.col("file")).alias("package")).distinct(), "packages")
+    return graph.affected(imports, packages, n.where("kind = 'interface'").select("file").distinct(), 5, "*[5-9]")
 
 
 @query("graph_stats", f"WITH {GRAPH_SQL} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM documents) AS n_files, '{store.REVISION}' AS revision")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, text_queries  # noqa: F401  (both add to QUERIES and SQL)
+from . import graph_queries, index_queries, text_queries  # noqa: F401  (all add to QUERIES and SQL)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

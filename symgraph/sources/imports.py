@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions import paths
 from ..functions.text import strip_json_comments
 
-SCRIPT_PROBES = ["", ".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".vue", ".svelte", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
+SCRIPT_PROBES = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".d.ts", ".vue", ".svelte", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
 SCRIPTS = ("astro", "javascript", "svelte", "typescript", "vue")
 MANIFEST_NAMES = ("go.mod", "package.json", "tsconfig.json", "jsconfig.json", "Cargo.toml", "pnpm-workspace.yaml")
 

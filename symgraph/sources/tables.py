@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,9 +17,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (one machine, tests), a folder of our own, which goes when the driver ends."""
+    """spark.checkpoint.dir; where it is unset and all runs on this machine (tests), a folder of our own, which goes when the driver ends; else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="symgraph-")
         atexit.register(shutil.rmtree, folder, True)
         path = Path(folder).as_uri()

@@ -109,9 +109,23 @@ class Project:
         return store.stats(self.nodes, self.edges, self.files_table).withColumn("n_failed", F.lit(self.refs.where("target_id IS NULL").count()))
 
     def affected(self, files: list[str], depth: int = 5, pattern: str | None = None) -> DataFrame:
+        """(file, depth): tests that a change of these files may break, by who imports their packages."""
         changed = self.spark.createDataFrame([(f,) for f in files], "file string")
-        known = self.files_table.select(F.col("path").alias("file"))
-        return graph.affected(graph.file_dependents(self.nodes, self.edges), changed, known, depth, pattern).orderBy("file")
+        return graph.affected(self.imports(), self.packages(), changed, depth, pattern).orderBy("file")
+
+    def imports(self) -> DataFrame:
+        """(file, name): what each file imports, as it names it."""
+        n = self.nodes.select("id", "file", "name")
+        e = self.edges.where("kind = 'imports'").select("source_id", "target_id")
+        return e.join(n.select(F.col("id").alias("source_id"), "file"), "source_id").join(n.select(F.col("id").alias("target_id"), "name"), "target_id").select("file", "name").distinct()
+
+    def packages(self) -> DataFrame:
+        """(file, package) of every file: by the nearest go.mod above it, else the nearest package.json, else the name of its folder."""
+        folder, name = paths.dirname(F.col("path")), paths.basename(F.col("path"))
+        go = F.regexp_extract("content", r"(?m)^\s*module\s+(\S+)", 1)
+        package = F.when(name == "go.mod", go).when(name == "package.json", F.get_json_object("content", "$.name"))
+        manifests = self.files_table.where(name.isin("go.mod", "package.json")).select(folder.alias("folder"), package.alias("package"), (name == "go.mod").cast("int").alias("rank")).where("package <> ''")
+        return graph.nearest_package(self.files_table.select(F.col("path").alias("file")), manifests)
 
     def explore(self, question: str) -> list[tuple[str, str]]:
         """(file, text) for a question, packed to the budget of a project of this size. Files are scored and cut in Spark; only those few are packed on the driver."""

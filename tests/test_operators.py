@@ -34,10 +34,13 @@ def test_one_unnamed_hop_but_not_two(spark):
 
 
 def test_affected_tests(spark):
-    dependents = spark.createDataFrame([("pkg/a.go", "other/c.go"), ("other/c.go", "other/c_test.go")], "file string, dependent string")
-    known = spark.createDataFrame([(f,) for f in ("pkg/a.go", "pkg/a_test.go", "pkg/b.go", "other/c.go", "other/c_test.go")], "file string")
-    got = graph.affected(dependents, spark.createDataFrame([("pkg/a.go",)], "file string"), known)
-    assert {tuple(r) for r in got.collect()} == {("pkg/a_test.go", 0), ("other/c_test.go", 2)}
+    """A chain p0 <- p1 <- ... <- p6 of packages: five levels are visited, the tests beside each visited file count, those beyond don't."""
+    files = [f"p{i}/x{i}.go" for i in range(7)] + ["p0/x0_test.go", "p2/side_test.go", "p4/x4_test.go", "p5/x5_test.go", "q/q_test.go"]
+    packages = spark.createDataFrame([(f, "m/" + f.split("/")[0]) for f in files], "file string, package string")
+    imports = spark.createDataFrame([(f"p{i + 1}/x{i + 1}.go", f"m/p{i}") for i in range(6)] + [("q/q_test.go", "m/p1/sub")], "file string, name string")
+    changed = spark.createDataFrame([("p0/x0.go",)], "file string")
+    assert {tuple(r) for r in graph.affected(imports, packages, changed).collect()} == {("p0/x0_test.go", 0), ("p2/side_test.go", 2), ("p4/x4_test.go", 4), ("q/q_test.go", 2)}
+    assert {r["file"] for r in graph.affected(imports, packages, changed, depth=1).collect()} == {"p0/x0_test.go"}
 
 
 def test_importers_need_whole_parts(spark):

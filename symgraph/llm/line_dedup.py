@@ -49,8 +49,9 @@ MOST_BITS = 1 << 29
 CANDIDATES = 4
 #: Lines of a word that a task compares at once.
 HOT = 1 << 16
-ROWS_AT_ONCE = 1 << 17
-PAIRS_AT_ONCE = 1 << 20
+ROWS_AT_ONCE = 1 << 16
+PAIRS_AT_ONCE = 1 << 17
+DOCS_AT_ONCE = 128
 BYTES_AT_ONCE = 1 << 17
 LINES_AT_ONCE = 1 << 12
 
@@ -118,7 +119,7 @@ def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list, list[str]]]:
     """Runs of rows (doc_ids, docs, texts) of about BYTES_AT_ONCE; a longer text is a run of its own."""
     ids, docs, texts, size, lines = [], [], [], 0, 0
-    for doc_id, doc, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "doc", "text"))):
+    for doc_id, doc, text in (row for i in range(0, batch.num_rows, DOCS_AT_ONCE) for row in zip(*(batch[c].slice(i, DOCS_AT_ONCE).to_pylist() for c in ("doc_id", "doc", "text")))):
         more = text.count("\n") + 1
         if texts and (size + len(text) > BYTES_AT_ONCE or lines + more > LINES_AT_ONCE):
             yield ids, docs, texts

@@ -40,7 +40,8 @@ PRIOR = 30
 FINE, OCTAVES = 9, 14
 #: Added to the length, so that a few symbols in a very short text don't count for much.
 SMOOTH = 100
-CHARS_AT_ONCE = 1 << 18
+CHARS_AT_ONCE = 1 << 17
+ROWS_AT_ONCE = 128
 
 _WORD = re.compile("[^ \t\r\n]+")
 _SYMBOL, _UPPER = 1, 2
@@ -74,7 +75,7 @@ def _measured(texts: list[str]) -> tuple[np.ndarray, ...]:
 @F.arrow_udf(_MEASURED)
 def _measures(text: pa.Array) -> pa.Array:
     out, held, size = [_measured([])], [], 0
-    for t in text.to_pylist():
+    for t in (t for i in range(0, len(text), ROWS_AT_ONCE) for t in text.slice(i, ROWS_AT_ONCE).to_pylist()):
         if held and size + len(t or "") > CHARS_AT_ONCE:
             out.append(_measured(held))
             held, size = [], 0

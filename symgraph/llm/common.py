@@ -61,6 +61,9 @@ def numbered(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     """These columns of df and position, its rows' place from 0 on. Of Parquet files, that is by the number of the part, name and row, however a scan packs the
     files into tasks; what is no scan of files is written to some first."""
     try:
+        # a plan of more than the scan may have the files' places of one of its inputs
+        if not df._jdf.queryExecution().analyzed().children().isEmpty():
+            return numbered(materialize(df.select(*map(col, columns)), name), columns, name)
         meta = df.metadataColumn("_metadata")
         d = df.select(*map(col, columns), meta.getField("file_name").alias("in_file"), meta.getField("row_index").alias("in_row"))
     except AnalysisException:

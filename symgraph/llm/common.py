@@ -116,8 +116,11 @@ def blocked(df: DataFrame, key: str, row_id: str, hot: int, counted: DataFrame |
 
 def drop_table(df: DataFrame) -> None:
     """Deletes the folder of a DataFrame that materialize() returned."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.symgraph_path)
+    drop_path(df.sparkSession, df.symgraph_path)
+
+
+def drop_path(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -1,11 +1,13 @@
 """Embedding near-duplicates by a hierarchical navigable small-world graph per shard.
 
-Vectors are spread over shards of about SHARD rows by hash; each shard builds its graph once and stores it. Then every vector queries every
-shard, a task for each shard and chunk of about CHUNK queries. As every vector queries every shard, the number of searches is rows * rows / SHARD, each
-costing about the logarithm of SHARD: shards are as large as a task can hold (65536 vectors of 64 numbers and their links: 24 MB). A beam that ends full of near vectors is widened for that query until it isn't or it
-spans the shard. Each task audits itself: a sample of its queries is compared with a scan of the shard, and while recall is under RECALL
-the whole chunk is searched again with beams twice as wide, up to one that spans the shard; only if that fails its audit, too, is the shard scanned. Pairs are verified by their exact cosine, and components
-united over all tasks; a task emits a spanning forest of its pairs, so large groups stay linear in output.
+Vectors are spread over shards of about SHARD rows by hash; each shard builds its graph once and stores it as a file of the shared folder. Then every
+vector queries every shard: a task has about CHUNK queries and reads one stored graph after another, so no graph passes through Spark's rows and a task
+holds one at a time. As every vector queries every shard, the number of searches is rows * rows / SHARD, each costing about the logarithm of SHARD:
+shards are as large as a task can hold (65536 vectors of 64 numbers and their links: 24 MB). A beam that ends full of near vectors is widened for that
+query until it isn't or it spans the shard; the wider the beam, the fewer queries at once. Each task audits itself on each shard: a sample of its queries
+is compared with a scan of the shard, and while recall is under RECALL the beams are made twice as wide, up to one that spans the shard, before all of the
+chunk is searched; only if that fails its audit, too, is the shard scanned. Pairs are verified by their exact cosine, and components united over all tasks;
+a task reduces its pairs to a spanning forest as it goes, so large groups stay linear in memory and output.
 
 Insertion and search run over batches: all queries of a batch take a step of their beam searches together, in numpy.
 
@@ -19,14 +21,18 @@ Defined results for odd input:
 from __future__ import annotations
 
 import io
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .simhash import forest
+from .warc import _store
 
 COSINE = 0.95
 RECALL = 0.95
@@ -37,6 +43,11 @@ BEAM = 32
 BUILD_BEAM = 48
 BATCH = 256
 AUDITED = 64
+#: Queries times beam width of a search, pairs verified, pairs held and queries of a scan at once.
+CELLS = 1 << 15
+VERIFIED = 1 << 14
+PAIRS_AT_ONCE = 1 << 20
+SCANNED = 32
 #: Nearest vectors that an audited query must find even where they are no duplicates.
 NEAREST = 5
 
@@ -134,60 +145,60 @@ def build(x: np.ndarray, seed: int = 11) -> tuple[list[np.ndarray], int]:
     return links, 0
 
 
-def query_shard(x: np.ndarray, links: list[np.ndarray], entry: int, q: np.ndarray, cosine: float = COSINE, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) pairs of q and the shard's unit vectors x whose cosine may be `cosine` or more, with at least that recall on an audited sample."""
+def _pairs(x: np.ndarray, links: list[np.ndarray], entry: int, q: np.ndarray, cosine: float, recall: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """query_shard()'s pairs, a run at a time."""
     loose = cosine - 1e-5  # 32-bit; exact cosines decide later
-    if not len(q) or not len(x):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def beams(rows: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def beams(rows: np.ndarray, ef: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Pairs, and the NEAREST ids of each query."""
-        left, right, near = [], [], []
-        for i in range(0, len(rows), BATCH):
-            part = rows[i : i + BATCH]
+        at_once = max(1, min(BATCH, CELLS // ef))
+        for i in range(0, len(rows), at_once):
+            part = rows[i : i + at_once]
             start = np.full((len(part), 1), entry, np.int32)
             for layer in range(len(links) - 1, 0, -1):
                 start = _search(x, links[layer], q[part], start, 1)[0][:, :1]
             ids, cos = _search(x, links[0], q[part], start, ef)
-            near.append(ids[:, :NEAREST])
             filled = (cos[:, -1] >= loose) & (ef < len(x))  # there may be more: these go again, wider
             a, k = np.nonzero((cos >= loose) & ~filled[:, None])
+            yield part[a], ids[a, k].astype(np.int64), ids[:, :NEAREST]
             if filled.any():
-                l2, r2, _ = beams(part[filled], 2 * ef)
-                left.append(l2)
-                right.append(r2)
-            left.append(part[a])
-            right.append(ids[a, k].astype(np.int64))
-        return np.concatenate(left), np.concatenate(right), np.concatenate(near)
-
-    everyone = np.arange(len(q))
+                yield from ((left, right, near[:0]) for left, right, near in beams(part[filled], 2 * ef))
+
     sample = np.random.default_rng(3).permutation(len(q))[:AUDITED]
+    number = np.full(len(q), -1)
+    number[sample] = np.arange(len(sample))
     truth = q[sample] @ x.T
-    fifth = -np.sort(-truth, axis=1)[:, min(NEAREST, len(x)) - 1]
+    fifth = np.partition(truth, len(x) - min(NEAREST, len(x)), axis=1)[:, len(x) - min(NEAREST, len(x))]
+    dup, nearest = truth >= loose, np.minimum((truth >= fifth[:, None]).sum(axis=1), NEAREST).sum()
+    del truth
     ef = BEAM
     while True:
-        left, right, near = beams(everyone, ef)
-        number = np.full(len(q), -1)
-        number[sample] = np.arange(len(sample))
-        found = np.zeros(truth.shape, bool)
-        of = number[left] >= 0
-        found[number[left[of]], right[of]] = True
-        dup = truth >= loose
+        found, close = np.zeros(dup.shape, bool), []
+        for left, right, near in beams(sample, ef):
+            found[number[left], right] = True
+            close.append(near)
         ok = not dup.any() or found[dup].mean() >= recall
         found = np.zeros((len(sample), len(x) + 1), bool)
-        found[np.arange(len(sample))[:, None], near[sample]] = True
-        ok &= found[:, :-1].sum() >= recall * np.minimum((truth >= fifth[:, None]).sum(axis=1), NEAREST).sum()
-        if ok:
-            return left, right
-        if ef >= len(x):
+        found[np.arange(len(sample))[:, None], np.concatenate(close)] = True
+        ok &= found[:, :-1].sum() >= recall * nearest
+        if ok or ef >= len(x):
             break
         ef *= 2
+    del found, dup
+    if ok:
+        yield from ((left, right) for left, right, _ in beams(np.arange(len(q)), ef))
+        return
     # a graph that doesn't lead everywhere: scan
-    left, right = [], []
-    for i in range(0, len(q), BATCH):
-        a, b = np.nonzero(q[i : i + BATCH] @ x.T >= loose)
-        left.append(a + i)
-        right.append(b)
+    for i in range(0, len(q), SCANNED):
+        a, b = np.nonzero(q[i : i + SCANNED] @ x.T >= loose)
+        yield a + i, b
+
+
+def query_shard(x: np.ndarray, links: list[np.ndarray], entry: int, q: np.ndarray, cosine: float = COSINE, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) pairs of q and the shard's unit vectors x whose cosine may be `cosine` or more, with at least that recall on an audited sample."""
+    if not len(q) or not len(x):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    left, right = zip(*_pairs(x, links, entry, q, cosine, recall))
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -196,33 +207,70 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _built(table: pa.Table) -> pa.Table:
-    dim = table["dim"][0].as_py()
-    x = _unit(table["e"].combine_chunks(), dim)
-    links, entry = build(x)
-    out = io.BytesIO()
-    np.savez(out, x=x, ids=table["id"].to_numpy(), entry=entry, **{f"l{i}": v for i, v in enumerate(links)})
-    return pa.table({"dim": [dim], "shard": [table["shard"][0].as_py()], "graph": pa.array([out.getvalue()], pa.binary())}, schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("graph", pa.binary())]))
-
-
-def _queried(cosine: float, recall: float):
-    def run(graph: pa.Table, queries: pa.Table) -> pa.Table:
-        empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        if not graph.num_rows or not queries.num_rows:
-            return empty
-        g = np.load(io.BytesIO(graph["graph"][0].as_py()))
-        x, ids = g["x"], g["ids"]
-        q, own = _unit(queries["e"].combine_chunks(), graph["dim"][0].as_py()), queries["id"].to_numpy()
-        left, right = query_shard(x, [g[f"l{i}"] for i in range(sum(k.startswith("l") for k in g.files))], int(g["entry"]), q, cosine, recall)
-        keep = [np.zeros(0, bool)]
-        for i in range(0, len(left), 1 << 16):
-            a, b = q[left[i : i + (1 << 16)]].astype(np.float64), x[right[i : i + (1 << 16)]].astype(np.float64)
-            keep.append((a * b).sum(axis=1) >= cosine - 1e-7)
-        keep = np.concatenate(keep)
-        left, right = left[keep], right[keep]
-        known, number = np.unique(np.concatenate([own[left], ids[right]]), return_inverse=True)
-        a, b = forest(len(known), number[: len(left)], number[len(left) :])
-        return pa.table({"a": known[a], "b": known[b]}) if len(a) else empty
+def _built(folder: str):
+    def run(table: pa.Table) -> pa.Table:
+        dim, shard = table["dim"][0].as_py(), table["shard"][0].as_py()
+        x = _unit(table["e"].combine_chunks(), dim)
+        links, entry = build(x)
+        fs, path = _store(folder)
+        fs.create_dir(path, recursive=True)
+        name = f"{path}/{dim}-{shard}.npz"
+        attempt = f"{name}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(attempt) as out:
+            np.savez(held := io.BytesIO(), x=x, ids=table["id"].to_numpy(), entry=entry, **{f"l{i}": v for i, v in enumerate(links)})
+            out.write(held.getbuffer())
+        fs.move(attempt, name)
+        return pa.table({"dim": [dim], "shard": [shard]}, schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32())]))
+
+    return run
+
+
+def _united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of these edges."""
+    known, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+    rows, roots = forest(len(known), number[: len(a)], number[len(a) :])
+    return known[rows], known[roots]
+
+
+def _edges(q: np.ndarray, own: np.ndarray, g: np.lib.npyio.NpzFile, cosine: float, recall: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of the queries q, own being their ids, and a stored shard's vectors."""
+    x, ids, links = g["x"], g["ids"], [g[f"l{i}"] for i in range(sum(k.startswith("l") for k in g.files))]
+    held, n = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    for left, right in _pairs(x, links, int(g["entry"]), q, cosine, recall):
+        for i in range(0, len(left), VERIFIED):
+            a, b = left[i : i + VERIFIED], right[i : i + VERIFIED]
+            keep = (q[a].astype(np.float64) * x[b].astype(np.float64)).sum(axis=1) >= cosine - 1e-7
+            held.append((own[a[keep]], ids[b[keep]]))
+            n += int(keep.sum())
+            if n >= PAIRS_AT_ONCE:
+                held, n = [_united(*map(np.concatenate, zip(*held)))], 0
+    return _united(*map(np.concatenate, zip(*held)))
+
+
+def _queried(folder: str, shards: dict[int, list[int]], chunk: int, cosine: float, recall: float):
+    """shards: of each dimension."""
+
+    def searched(queries: pa.Table) -> Iterator[pa.RecordBatch]:
+        fs, path = _store(folder)
+        for dim in pc.unique(queries["dim"]).to_pylist():
+            some = queries.filter(pc.equal(queries["dim"], dim)).combine_chunks()
+            q, own = _unit(some["e"].combine_chunks(), dim), some["id"].to_numpy()
+            for shard in shards[dim]:
+                with fs.open_input_file(f"{path}/{dim}-{shard}.npz") as f, np.load(f) as g:
+                    a, b = _edges(q, own, g, cosine, recall)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, chunk):
+                held.append(batch.slice(i, chunk))
+                n += held[-1].num_rows
+                if n >= chunk:
+                    yield from searched(pa.Table.from_batches(held))
+                    held, n = [], 0
+        if n:
+            yield from searched(pa.Table.from_batches(held))
 
     return run
 
@@ -236,18 +284,16 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float
     vectors = common.materialize(v, "embedding-vectors")
     n = vectors.count()
     shards, chunks = max(1, -(-n // shard)), max(1, -(-n // chunk))
-    v = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("chunk")), F.lit(chunks)).cast("int"))
-    graphs = common.materialize(v.groupBy("dim", "shard").applyInArrow(_built, "dim int, shard int, graph binary"), "embedding-graphs")
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = graphs.withColumn("chunk", every(chunks)).groupBy("dim", "shard", "chunk")
-    right = v.select("id", "e", "dim", "chunk", every(shards).alias("shard")).groupBy("dim", "shard", "chunk")
-    edges = left.cogroup(right).applyInArrow(_queried(cosine, recall), "a long, b long")
+    spark = embeddings.sparkSession
+    folder = common.table_path(spark, "embedding-graphs")
+    own = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    built: dict[int, list[int]] = {}
+    for r in own.groupBy("dim", "shard").applyInArrow(_built(folder), "dim int, shard int").collect():  # a row for each shard
+        built.setdefault(r["dim"], []).append(r["shard"])
+    edges = vectors.repartition(chunks).mapInArrow(_queried(folder, built, chunk, cosine, recall), "a long, b long")
     roots = common.connected_components(edges, "embedding-components")
-    for t in (vectors, graphs):
-        common.drop_table(t)
+    common.drop_table(vectors)
+    common.drop_path(spark, folder)
     return roots.where("id <> root").selectExpr("id AS vec_id", "root AS duplicate_of")
 
 

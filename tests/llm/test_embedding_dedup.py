@@ -64,3 +64,22 @@ def test_odd_input(spark):
     d = spark.createDataFrame([(*r, 5, 6) for r in rows], SCHEMA + ", id int, dim int")
     assert {tuple(r) for r in e.near_duplicates(d).collect()} == {(2, 1), (9, 1)}
     assert e.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_memory_stays_bounded_in_a_large_group(spark, monkeypatch):
+    """Wide beams take fewer queries at once, pairs are united as they come, and no graph is in a row of a table."""
+    rng = np.random.default_rng(5)
+    x = (np.ones((700, 16)) + rng.normal(size=(700, 16)) * 0.01).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links, entry = e.build(x)
+    cells, search = [], e._search
+    monkeypatch.setattr(e, "_search", lambda x, links, q, start, ef: (cells.append(len(q) * ef), search(x, links, q, start, ef))[1])
+    left, right = e.query_shard(x, links, entry, x)
+    assert max(cells) <= 1 << 15 and len(set(zip(left.tolist(), right.tolist()))) >= e.RECALL * 700 * 700
+    monkeypatch.undo()
+
+    tables, write = [], e.common.materialize
+    monkeypatch.setattr(e.common, "materialize", lambda d, name: (tables.append(d.schema.simpleString()), write(d, name))[1])
+    got = e.near_duplicates(table(spark, x), shard=250, chunk=100).collect()
+    assert {tuple(r) for r in got} == {(i, 0) for i in range(1, 700)}
+    assert tables and not any("binary" in t for t in tables)

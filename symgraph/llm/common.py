@@ -74,7 +74,8 @@ def numbered(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     for r in sorted(n_rows, key=lambda r: (int(m[1]) if (m := part.match(r["file"])) else -1, r["file"])):
         places.append((r["file"], at))
         at += r["count"]
-    places = df.sparkSession.createDataFrame(places, "at_file string, at long")
+    # from Arrow: a list of rows would start Python workers of another kind, which stay
+    places = df.sparkSession.createDataFrame(pa.table({"at_file": pa.array([f for f, _ in places], pa.string()), "at": pa.array([n for _, n in places], pa.int64())}))
     d = d.join(F.broadcast(places), F.col("in_file") == F.col("at_file"))
     return d.select(*map(col, columns), (F.col("at") + F.col("in_row")).alias("position"))
 

@@ -31,7 +31,6 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -468,15 +467,19 @@ def removed_lines(docs: DataFrame, similarity: Fraction = SIMILARITY, candidates
     return out
 
 
-@F.pandas_udf(T.StringType())
-def _without(text: pd.Series, positions: pd.Series) -> pd.Series:
-    def one(t: str | None, p: np.ndarray | None) -> str | None:
+@F.arrow_udf(T.StringType())
+def _without(text: pa.Array, positions: pa.Array) -> pa.Array:
+    def one(t: str | None, p: list[int] | None) -> str | None:
         if t is None or p is None:
             return t
-        gone = set(p.tolist())
+        gone = set(p)
         return "\n".join([line for i, line in enumerate(t.split("\n")) if i not in gone])
 
-    return pd.Series([one(t, p) for t, p in zip(text, positions)], dtype=object)
+    return pa.array((one(t.as_py(), p.as_py()) for t, p in zip(text, positions)), pa.string())
+
+
+#: Said not to be deterministic, so that a filter on its result isn't pushed below it: it would run twice in each task, with a Python worker more.
+_without = _without.asNondeterministic()
 
 
 def _cleaned(docs: DataFrame, similarity: Fraction) -> DataFrame:

@@ -136,7 +136,8 @@ def _mixed(docs: DataFrame, extra: list[Column], weights: dict[Source, float] |
         blocks = {}
     spark = docs.sparkSession
     slots = _slots(spark, blocks, weights, bool(whole))
-    per_source = spark.createDataFrame([(s, n - 1) for s, n in blocks.items()], "b_source string, last_block long")
+    # from Arrow: a list of rows would start Python workers of another kind, which stay
+    per_source = spark.createDataFrame(pa.table({"b_source": pa.array(list(blocks), pa.string()), "last_block": pa.array([n - 1 for n in blocks.values()], pa.int64())}))
     placed = _placed(docs, extra, block_chars).join(common.bounded_broadcast(per_source, len(blocks)), F.col("source").eqNullSafe(F.col("b_source"))).withColumn("block", F.least("block", "last_block"))
     at = placed.join(common.bounded_broadcast(slots, sum(blocks.values())), F.col("source").eqNullSafe(F.col("t_source")) & (F.col("block") == F.col("t_block")))
     return at.drop("b_source", "last_block", "t_source", "t_block")

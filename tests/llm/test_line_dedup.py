@@ -1,6 +1,9 @@
 import random
 import re
+import subprocess
+import sys
 from fractions import Fraction
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -104,3 +107,11 @@ def test_many_variants_of_one_passage(spark):
         rows.append((i, " ".join(words)))
     got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.where("n_removed = 0").select(F.min("doc_id"), F.count("*")).first() == (0, 1)
+
+
+def test_a_filter_on_the_cleaned_text_does_not_run_python_twice(spark):
+    """One Python operator in a task of clean_documents(), so one worker for each of an executor's cores; and workers don't load pandas for it."""
+    d = line_dedup.clean_documents(data.docs(spark, ["one two three\nfour five six", "one two three\nseven eight nine", "one two three", ""]))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r["doc_id"], r["text"]) for r in d.collect()) == [(0, "one two three\nfour five six"), (1, "seven eight nine"), (3, "")]
+    assert subprocess.run([sys.executable, "-c", "import sys, symgraph.llm.line_dedup; sys.exit('pandas' in sys.modules)"], cwd=Path(__file__).parents[2]).returncode == 0

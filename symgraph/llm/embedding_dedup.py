@@ -9,7 +9,8 @@ is compared with a scan of the shard, and while recall is under RECALL the beams
 chunk is searched; only if that fails its audit, too, is the shard scanned. Pairs are verified by their exact cosine, and components united over all tasks;
 a task reduces its pairs to a spanning forest as it goes, so large groups stay linear in memory and output.
 
-Insertion and search run over batches: all queries of a batch take a step of their beam searches together, in numpy.
+Insertion and search run over batches: all queries of a batch take a step of their beam searches together, in numpy. What a search remembers is bounded by
+its beam, not by the shard; beams that have to be wider are gathered into batches of their own. A vector only passes through the layers above its own.
 
 Defined results for odd input:
 * a null id, or a null, empty, zero or non-finite embedding, or one with a null element: never a duplicate;
@@ -42,6 +43,8 @@ LINKS = 12
 BEAM = 32
 BUILD_BEAM = 48
 BATCH = 256
+#: Ids that a search remembers, per width of its beam.
+SLOTS = 32
 AUDITED = 64
 #: Queries times beam width of a search, pairs verified, pairs held and queries of a scan at once.
 CELLS = 1 << 15
@@ -55,9 +58,9 @@ NEAREST = 5
 def _search(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
     """Beam search on one layer: (ids, cosines) of ef each, best first, -1 and -inf where there are fewer. start: the entry point of each query."""
     n, step = len(q), max(2, ef // 8)
-    seen = np.zeros((n, len(x) + 1), bool)  # the last column is that of -1
-    seen[:, -1] = True
-    seen[np.arange(n), start[:, 0]] = True
+    # the last id compared in each slot, of as many slots as the beam needs and not as the shard has rows; what lost its slot is compared again, to no effect
+    slots = 1 << (min(SLOTS * ef, len(x)) - 1).bit_length()
+    seen = np.full((n, slots), -1, np.int32)
     ids, cos, done = np.full((n, ef), -1, np.int32), np.full((n, ef), -np.inf, np.float32), np.ones((n, ef), bool)
     ids[:, 0], cos[:, 0], done[:, 0] = start[:, 0], np.einsum("bd,bd->b", q, x[start[:, 0]]), False
     go = np.arange(n)
@@ -67,15 +70,26 @@ def _search(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarray,
         live = ~d[rows, pick]
         d[rows, pick] = True
         near = np.where(live[:, :, None], links[i[rows, pick]], -1).reshape(len(go), -1)
-        near.sort(axis=1)
-        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-        near[seen[go[:, None], near]] = -1
-        r, k = np.nonzero(near >= 0)
-        new = near[r, k]
-        seen[go[r], new] = True
-        new_cos = np.full(near.shape, -np.inf, np.float32)
-        new_cos[r, k] = np.einsum("nd,nd->n", q[go[r]], x[new])
-        i, c, d = np.concatenate([i, near], 1), np.concatenate([c, new_cos], 1), np.concatenate([d, near < 0], 1)
+        # neighbours once each, without those in the beam, which sort before their equals
+        keys = np.concatenate([2 * i, 2 * near + 1], 1)
+        keys.sort(axis=1)
+        fresh = (keys & 1 == 1) & (keys >= 0)
+        fresh[:, 1:] &= keys[:, 1:] >> 1 != keys[:, :-1] >> 1
+        r, k = np.nonzero(fresh)
+        new = keys[r, k] >> 1
+        slot = go[r] * slots + (new & (slots - 1))
+        unseen = seen.ravel()[slot] != new
+        r, new = r[unseen], new[unseen]
+        seen.ravel()[slot[unseen]] = new
+        new_cos = np.einsum("nd,nd->n", q.take(go[r], 0), x.take(new, 0))
+        # only what is better than the beam's last goes in, so what left it never comes back
+        better = new_cos > c[r, -1]
+        r, new, new_cos = r[better], new[better], new_cos[better]
+        count = np.bincount(r, minlength=len(go))
+        at = ef + np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+        more = len(go), int(count.max())
+        i, c, d = (np.concatenate([v, np.full(more, none, v.dtype)], 1) for v, none in ((i, -1), (c, -np.inf), (d, True)))
+        i[r, at], c[r, at], d[r, at] = new, new_cos, False
         order = np.argsort(-c, axis=1)[:, :ef]
         ids[go], cos[go], done[go] = i[rows, order], c[rows, order], d[rows, order]
         go = go[~done[go].all(axis=1)]
@@ -108,16 +122,18 @@ def build(x: np.ndarray, seed: int = 11) -> tuple[list[np.ndarray], int]:
         new = np.arange(at, min(n, at + min(at, BATCH)))
         start = np.zeros((len(new), 1), np.int32)
         for layer in range(top, -1, -1):
-            mine = np.flatnonzero(level[new] >= layer)
-            ids, cos = _search(x, links[layer], x[new], start, BUILD_BEAM)
-            start = ids[:, :1]
+            # those that aren't of this layer only pass through it
+            mine, rest = np.flatnonzero(level[new] >= layer), np.flatnonzero(level[new] < layer)
+            start[rest] = _search(x, links[layer], x[new[rest]], start[rest], 1)[0]
             if not len(mine):
                 continue
+            ids, cos = _search(x, links[layer], x[new[mine]], start[mine], BUILD_BEAM)
+            start[mine] = ids[:, :1]
             # candidates: what the search found, and earlier ones of the same batch
             own = x[new[mine]] @ x[new].T
             own[(new[None, :] >= new[mine][:, None]) | (level[new] < layer)[None, :]] = -np.inf
-            ids = np.concatenate([ids[mine], np.where(own > -np.inf, new[None, :], -1)], 1)
-            cos = np.concatenate([cos[mine], own], 1)
+            ids = np.concatenate([ids, np.where(own > -np.inf, new[None, :], -1)], 1)
+            cos = np.concatenate([cos, own], 1)
             order = np.argsort(-cos, axis=1, kind="stable")[:, :BUILD_BEAM]
             ids, cos = np.take_along_axis(ids, order, 1), np.take_along_axis(cos, order, 1)
             most = links[layer].shape[1]
@@ -131,9 +147,11 @@ def build(x: np.ndarray, seed: int = 11) -> tuple[list[np.ndarray], int]:
             target, first, count = np.unique(b, return_index=True, return_counts=True)
             wide = np.full((len(target), int(count.max(initial=0))), -1, np.int32)
             wide[np.repeat(np.arange(len(target)), count), np.arange(len(b)) - np.repeat(first, count)] = a
+            by_count = np.argsort(count, kind="stable")  # so a target of many doesn't widen the others' lists
             for i in range(0, len(target), BATCH):
-                t = target[i : i + BATCH]
-                ids = np.concatenate([links[layer][t], wide[i : i + BATCH]], 1)
+                some = by_count[i : i + BATCH]
+                t = target[some]
+                ids = np.concatenate([links[layer][t], wide[some, : count[some[-1]]]], 1)
                 cos = np.where(ids >= 0, np.einsum("bd,bkd->bk", x[t], x[ids]), -np.inf)
                 order = np.argsort(-cos, axis=1, kind="stable")[:, : 4 * most]
                 ids, cos = np.take_along_axis(ids, order, 1), np.take_along_axis(cos, order, 1)
@@ -151,18 +169,20 @@ def _pairs(x: np.ndarray, links: list[np.ndarray], entry: int, q: np.ndarray, co
 
     def beams(rows: np.ndarray, ef: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Pairs, and the NEAREST ids of each query."""
-        at_once = max(1, min(BATCH, CELLS // ef))
-        for i in range(0, len(rows), at_once):
-            part = rows[i : i + at_once]
-            start = np.full((len(part), 1), entry, np.int32)
-            for layer in range(len(links) - 1, 0, -1):
-                start = _search(x, links[layer], q[part], start, 1)[0][:, :1]
-            ids, cos = _search(x, links[0], q[part], start, ef)
-            filled = (cos[:, -1] >= loose) & (ef < len(x))  # there may be more: these go again, wider
-            a, k = np.nonzero((cos >= loose) & ~filled[:, None])
-            yield part[a], ids[a, k].astype(np.int64), ids[:, :NEAREST]
-            if filled.any():
-                yield from ((left, right, near[:0]) for left, right, near in beams(part[filled], 2 * ef))
+        start, top = np.full((len(rows), 1), entry, np.int32), len(links) - 1
+        while len(rows):
+            at_once, wider = max(1, min(BATCH, CELLS // ef)), []
+            for i in range(0, len(rows), at_once):
+                part, at = rows[i : i + at_once], start[i : i + at_once]
+                for layer in range(top, 0, -1):
+                    at = _search(x, links[layer], q[part], at, 1)[0]
+                ids, cos = _search(x, links[0], q[part], at, ef)
+                filled = (cos[:, -1] >= loose) & (ef < len(x))  # there may be more: these go again, wider, from the best they have found
+                a, k = np.nonzero((cos >= loose) & ~filled[:, None])
+                yield part[a], ids[a, k].astype(np.int64), ids[: len(ids) * (top >= 0), :NEAREST]
+                wider.append((part[filled], ids[filled, :1]))
+            rows, start = map(np.concatenate, zip(*wider))
+            top, ef = -1, 2 * ef
 
     sample = np.random.default_rng(3).permutation(len(q))[:AUDITED]
     number = np.full(len(q), -1)

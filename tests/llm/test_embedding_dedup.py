@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from symgraph.llm import embedding_dedup as e
@@ -83,3 +85,37 @@ def test_memory_stays_bounded_in_a_large_group(spark, monkeypatch):
     got = e.near_duplicates(table(spark, x), shard=250, chunk=100).collect()
     assert {tuple(r) for r in got} == {(i, 0) for i in range(1, 700)}
     assert tables and not any("binary" in t for t in tables)
+
+
+def test_the_work_of_a_search_does_not_follow_the_size_of_its_shard(monkeypatch):
+    """What a search remembers is bounded by its beam; vectors only pass through the layers above their own; full beams go on in whole batches."""
+    peaks = []
+    for n in (5000, 50000):
+        x = np.random.default_rng(0).normal(size=(n, 8)).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        links = np.random.default_rng(1).integers(0, n, (n + 1, 2 * e.LINKS), dtype=np.int32)
+        tracemalloc.start()
+        e._search(x, links, x[:200], np.zeros((200, 1), np.int32), e.BEAM)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
+
+    x = clustered(1500, 3, 16).astype(np.float32)
+    x[::10] = x[0] + np.random.default_rng(2).normal(size=(150, 16)) * 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    searches, search = [], e._search
+    monkeypatch.setattr(e, "_search", lambda x, links, q, start, ef: (searches.append((links.shape[1], ef, len(q))), search(x, links, q, start, ef))[1])
+    links, entry = e.build(x)
+    members = sum(int((layer[:-1, 0] >= 0).sum()) for layer in links[1:])
+    assert sum(n for width, ef, n in searches if width == e.LINKS and ef > 1) <= members + len(links)
+    searches.clear()
+    left, right = e.query_shard(x, links, entry, x)
+    want = set(zip(*(i.tolist() for i in np.nonzero(x @ x.T >= e.COSINE))))
+    assert len(want & set(zip(left.tolist(), right.tolist()))) >= e.RECALL * len(want)
+    assert sum(ef == 2 * e.BEAM for _, ef, _ in searches) <= 2  # one for the audit's sample, one for all
+
+
+def test_more_equal_vectors_than_a_beam_holds():
+    x = np.repeat(np.eye(4, dtype=np.float32), 100, axis=0)
+    left, right = e.query_shard(x, *e.build(x), x)
+    assert set(zip(left.tolist(), right.tolist())) == {(a, b) for a in range(400) for b in range(400) if a // 100 == b // 100}

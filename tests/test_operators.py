@@ -115,3 +115,59 @@ def test_search(spark):
     f = d.withColumnRenamed("id", "file")
     assert [(r["file"], r["line"]) for r in search.scan(f, "^foo").collect()] == [(2, 2)]
     assert [(r["file"], r["n"]) for r in search.scan_counts(f, "user").collect()] == [(5, 1)]
+
+
+def test_all_candidates_of_a_crowded_name_are_scored(spark):
+    nodes = spark.createDataFrame([(i, "function", "get", f"d/f{i}.go", 1, 2) for i in range(100)] + [(200, "function", "get", "e/g.go", 1, 2), (500, "function", "main", "d/none.go", 9, 9), (501, "function", "main", "e/x/y/none.go", 9, 9)], NODES)
+    r = refs(spark, (500, "get", "calls", "d/none.go"), (501, "a.get", "calls", "e/x/y/none.go"), (0, "get", "calls", "d/f0.go"), (None, "get", "calls", "d/f3.go"))
+    got = {x["from_node"]: (x["target_id"], x["provenance"]) for x in resolve.resolve(r, nodes, ceiling=None).collect()}
+    assert got == {500: (0, "proximity"), 501: (None, None), 0: (1, "proximity"), None: (None, None)}
+
+
+def _resolved_in_full(refs, nodes, closure, ceiling):
+    """Every reference with every candidate, in plain Python."""
+    folder = lambda p: p.rpartition("/")[0]
+    out = {}
+    for f, name, kind, file in refs:
+        ks = {name, name.rsplit(".", 1)[-1]}
+        cand = [n for n in nodes if n[2] in ks and n[0] != f]
+        crowded, calling = ceiling is not None and len(cand) > ceiling, kind in resolve.CALLING
+        if crowded:
+            cand = [n for n in cand if n[3] == file and (not calling or n[1] in resolve.CALLABLE)]
+        rows = []
+        for i, k, nm, at, line, _ in cand:
+            same, beside, near = at == file, folder(at) == folder(file), folder(at) == folder(folder(file)) or folder(folder(at)) == folder(folder(file))
+            score = (100 if same else 50 if beside else 20 if near else 0) + (5 if k in ("function", "method") else 3 if k == "route" else 0) + 2 * (nm == name)
+            score = 100 if crowded else score
+            rows.append(((-score, at, line, k, nm, i), score > 0 and not (calling and k in ("file", "module")), "exact" if same else "proximity" if beside or near else "heuristic", (file, at) in closure))
+
+        def best(rows, weigh):
+            b = min((r for r in rows if r[1]), default=None)
+            return b if b and not (weigh and calling and len(rows) > 1 and -b[0][0] < 5) else None
+
+        lone = [n for n in cand if n[1] in resolve.CALLABLE]
+        got = None
+        if b := best([r for r in rows if r[3]], True):
+            got = (b[0][5], "import")
+        elif (b := best(rows, True)) and not (calling and b[2] == "heuristic"):
+            got = (b[0][5], b[2])
+        elif calling and len(lone) == 1 and not crowded:
+            at = lone[0][3]
+            got = (lone[0][0], "import") if (file, at) in closure else (lone[0][0], "heuristic") if folder(file) in (folder(at), folder(folder(at))) else None
+        out[f, name, kind, file] = got or (None, None)
+    return out
+
+
+def test_resolution_as_of_all_pairs(spark):
+    import random
+
+    r = random.Random(5)
+    files = [f"{d}f{i}.go" for d in ("", "a/", "a/b/", "a/c/", "a/b/d/", "z/y/") for i in range(3)]
+    kinds = ["function", "method", "struct", "class", "variable", "file", "module", "route"]
+    nodes = [(i, r.choice(kinds), r.choice(["run", "get", "x.get", "solo"] if i else ["once"]), r.choice(files), r.randrange(1, 6), 9) for i in range(60)] + [(90, "struct", "once", "a/b/d/f0.go", 1, 2), (91, "struct", "far", "z/y/f1.go", 1, 2)]
+    asked = sorted({(r.choice([n[0] for n in nodes]), r.choice(["run", "get", "x.get", "q.run", "solo", "once", "far", "none"]), r.choice(["calls", "type", "bridge"]), r.choice(files)) for _ in range(300)})
+    closure = {(r.choice(files), r.choice(files)) for _ in range(25)} | {("a/f0.go", "z/y/f1.go")}
+    n, c = spark.createDataFrame(nodes, NODES), spark.createDataFrame(sorted(closure), "file string, target_file string")
+    for reach, ceiling in ((closure, None), (closure, 8), (set(), None), (set(), 8)):
+        got = resolve.resolve(refs(spark, *asked), n, c if reach else None, ceiling=ceiling).collect()
+        assert {tuple(x)[:4]: tuple(x)[4:] for x in got} == _resolved_in_full(asked, nodes, reach, ceiling)

@@ -32,14 +32,25 @@ def field_channels(registrars: DataFrame, dispatchers: DataFrame) -> DataFrame:
 
 
 def callback_targets(calls: DataFrame, nodes: DataFrame) -> DataFrame:
-    """calls (call, name, caller_file, registrar_file) with target_id: the function of that name that is nearest to the caller (its file, folder, the registrar's file, folder, below), ties by place."""
-    n = nodes.where(F.col("kind").isin("function", "method")).select("name", F.col("id").alias("t_id"), F.col("file").alias("t_file"), F.col("line").alias("t_line"))
-    here, there, own = paths.dirname(F.col("caller_file")), paths.dirname(F.col("registrar_file")), paths.dirname(F.col("t_file"))
-    score = (
-        F.when(F.col("t_file") == F.col("caller_file"), 1).when(own == here, 2).when(F.col("t_file") == F.col("registrar_file"), 3).when(own == there, 4).when(F.startswith(F.col("t_file"), F.concat(here, F.lit("/"))), 10).otherwise(100)
+    """calls (call, name, caller_file, registrar_file) with target_id: the function of that name that is nearest to the caller (its file, folder, the registrar's file, folder, below), ties by place.
+
+    Each name's first function is taken for every file, folder, tree and anywhere before calls look there, so no call meets all functions of its name."""
+    first = F.struct(F.col("file").alias("t_file"), F.col("line").alias("t_line"), F.col("id").alias("id"))
+    n = nodes.where(F.col("kind").isin("function", "method")).join(calls.select("name").distinct(), "name", "left_semi")
+    files = n.groupBy("name", F.col("file").alias("path")).agg(F.min(first).alias("c"))
+    own = paths.dirname(F.col("path"))
+    trees = F.when(F.instr("path", "/") > 0, F.array_distinct(paths.ancestors(own)))
+    spots = F.concat(
+        F.array(F.struct(F.lit("file").alias("scope"), F.col("path").alias("path")), F.struct(F.lit("folder").alias("scope"), own.alias("path")), F.struct(F.lit("any").alias("scope"), F.lit("").alias("path"))),
+        F.transform(F.coalesce(trees, F.array().cast("array<string>")), lambda p: F.struct(F.lit("below").alias("scope"), p.alias("path"))),
     )
-    g = calls.join(n, "name").groupBy(*calls.columns).agg(F.min(F.struct(score, "t_file", "t_line", F.col("t_id").alias("id"))).alias("b"))
-    return g.select(*calls.columns, F.col("b.id").alias("target_id"))
+    near = files.select("name", "c", F.explode(spots).alias("s")).groupBy("name", "s.scope", "s.path").agg(F.min("c").alias("c"))
+    here, there = paths.dirname(F.col("caller_file")), paths.dirname(F.col("registrar_file"))
+    ways = ((1, "file", F.col("caller_file")), (2, "folder", here), (3, "file", F.col("registrar_file")), (4, "folder", there), (10, "below", here), (100, "any", F.lit("")))
+    look = calls.distinct().withColumn("w", F.explode(F.array(*(F.struct(F.lit(score).alias("score"), F.lit(scope).alias("scope"), path.alias("path")) for score, scope, path in ways))))
+    got = look.select(*calls.columns, "w.score", "w.scope", "w.path").join(near, ["name", "scope", "path"])
+    g = got.groupBy(*calls.columns).agg(F.min(F.struct("score", "c")).alias("b"))
+    return g.select(*calls.columns, F.col("b.c.id").alias("target_id"))
 
 
 def tag_edges(tags: DataFrame, nodes: DataFrame, most: int = TAGS) -> DataFrame:
@@ -79,4 +90,4 @@ def keyed_handlers(routes: DataFrame, methods: DataFrame) -> DataFrame:
     ways = {"all": F.lit(True), "controller": F.col("m_file").rlike("(^|/)controllers?/"), "addon": (F.col("addon") != "") & (paths.addon_root(F.col("m_file")) == F.col("addon"))}
     g = both.groupBy("route_id").agg(*(F.count(F.when(c, 1)).alias(f"n_{k}") for k, c in ways.items()), *(F.min(F.when(c, F.col("target_id"))).alias(f"t_{k}") for k, c in ways.items()))
     one = F.coalesce(*(F.when(F.col(f"n_{k}") == 1, F.col(f"t_{k}")) for k in ways))
-    return g.select("route_id", one.alias("target_id")).where("target_id IS NOT NULL")
+    return g.select("route_id", one.alias("target_id")).where("target_id IS NOT NULL")
\ No newline at end of file

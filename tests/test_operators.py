@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from symgraph.operators import graph, linking, resolve, search, store
+from symgraph.operators import explore, graph, linking, resolve, search, store
 
 NODES = "id long, kind string, name string, file string, line long, end_line long"
 
@@ -171,3 +172,39 @@ def test_resolution_as_of_all_pairs(spark):
     for reach, ceiling in ((closure, None), (closure, 8), (set(), None), (set(), 8)):
         got = resolve.resolve(refs(spark, *asked), n, c if reach else None, ceiling=ceiling).collect()
         assert {tuple(x)[:4]: tuple(x)[4:] for x in got} == _resolved_in_full(asked, nodes, reach, ceiling)
+
+
+@pytest.fixture
+def plain(spark):
+    """Plans as they are made: their nodes can be asked for rows."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield spark
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def most_joined(df):
+    """The most rows that a join of df gives."""
+    df.collect()
+    found, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if "Join" in p.nodeName():
+            found.append(p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return max(found)
+
+
+def test_no_call_meets_all_functions_of_its_name(plain):
+    nodes = plain.createDataFrame([(i, "function", "run", f"{'abc'[i % 3]}/{i % 7}/f{i}.go", i, i) for i in range(300)] + [(900, "function", "run", "top.go", 1, 1)], NODES)
+    rows = [(i, "run", f"{'abcd'[i % 4]}/{i % 9}/f{i}.go", f"c/{i % 7}/x.go") for i in range(300)] + [(900, "run", "a/x.go", None), (901, "run", "y.go", "b/1/f1.go"), (902, "none", "a/x.go", "a/x.go")]
+    calls = plain.createDataFrame(rows, "call long, name string, caller_file string, registrar_file string")
+    folder = lambda p: p.rpartition("/")[0]
+    got = linking.callback_targets(calls, nodes)
+    assert most_joined(got) < 5000
+    want = {}
+    places = sorted((r["file"], r["line"], r["id"]) for r in nodes.collect())
+    for call, name, caller, registrar in rows:
+        here, there = folder(caller), folder(registrar or "")
+        if name == "run":
+            want[call] = min((1 if f == caller else 2 if folder(f) == here else 3 if f == registrar else 4 if folder(f) == there else 10 if f.startswith(here + "/") else 100, f, line, i) for f, line, i in places)[3]
+    assert {r["call"]: r["target_id"] for r in got.collect()} == want
\ No newline at end of file

@@ -207,4 +207,21 @@ def test_no_call_meets_all_functions_of_its_name(plain):
         here, there = folder(caller), folder(registrar or "")
         if name == "run":
             want[call] = min((1 if f == caller else 2 if folder(f) == here else 3 if f == registrar else 4 if folder(f) == there else 10 if f.startswith(here + "/") else 100, f, line, i) for f, line, i in places)[3]
-    assert {r["call"]: r["target_id"] for r in got.collect()} == want
\ No newline at end of file
+    assert {r["call"]: r["target_id"] for r in got.collect()} == want
+
+
+def test_no_pin_meets_all_definitions_of_its_name(plain):
+    import random
+
+    r = random.Random(3)
+    defs = [(i, "function", r.choice("ab"), f"f{r.randrange(9)}", r.choice([None, *[r.randrange(-50, 4000)] * 20]), 0) for i in range(400)]
+    defs = [(i, k, n, f, x, None if x is None or i % 5 == 0 else x + r.choice([-1, 0, 3, 40, 1500])) for i, k, n, f, x, _ in defs] + [(990, "function", "c", "f2", None, None), (991, "function", "c", "f1", None, 7)]
+    pins = {(r.choice("abcd"), r.randrange(-100, 6000)) for _ in range(400)} | {("a", None), ("c", 5), ("a", 5000)}
+    got = graph.pinned(plain.createDataFrame(defs, NODES), plain.createDataFrame(sorted(pins, key=repr), "name string, at long"))
+    assert most_joined(got) < 8000
+    want = {}
+    for name, at in pins:
+        own = [(0 if x is not None and at is not None and x <= at <= (x if e is None else e) else 1, abs(x - at) if x is not None and at is not None else 1 << 40, f, -1 if x is None else x, i) for i, _, n, f, x, e in defs if n == name]
+        if own:
+            want[name, at] = min(own)[4]
+    assert {(x["name"], x["at"]): x["id"] for x in got.collect()} == want
\ No newline at end of file

@@ -224,4 +224,13 @@ def test_no_pin_meets_all_definitions_of_its_name(plain):
         own = [(0 if x is not None and at is not None and x <= at <= (x if e is None else e) else 1, abs(x - at) if x is not None and at is not None else 1 << 40, f, -1 if x is None else x, i) for i, _, n, f, x, e in defs if n == name]
         if own:
             want[name, at] = min(own)[4]
-    assert {(x["name"], x["at"]): x["id"] for x in got.collect()} == want
\ No newline at end of file
+    assert {(x["name"], x["at"]): x["id"] for x in got.collect()} == want
+
+
+def test_ways_that_lead_to_no_named_node_are_left_out(spark, monkeypatch):
+    kept = {}
+    real = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: kept.setdefault(name, real(df, name)) if name == "flow-edges" else real(df, name))
+    edges = spark.createDataFrame([(1, 2, "calls"), (2, 3, "calls"), *((k, 100 + i, "calls") for i in range(50) for k in (1, 3)), (100, 200, "calls")] * 2, "source_id long, target_id long, kind string")
+    assert {tuple(r) for r in graph.flow_paths(edges, spark.createDataFrame([(1,), (3,)], "id long")).collect()} == {(1, 3, 2)}
+    assert {tuple(r) for r in kept["flow-edges"].collect()} == {(1, 2, False), (2, 3, True)}
\ No newline at end of file

@@ -61,12 +61,14 @@ def tag_edges(tags: DataFrame, nodes: DataFrame, most: int = TAGS) -> DataFrame:
     return top(e, ["source_id"], ["tag"], most)
 
 
-def first_pass_wins(passes: list[DataFrame]) -> DataFrame:
-    """(source_id, target_id, kind, made_by) of all passes, each edge once, from the earliest."""
+def first_pass_wins(passes: list[DataFrame], partitions: int | None = None) -> DataFrame:
+    """(source_id, target_id, kind, made_by) of all passes, each edge once, from the earliest. partitions: how many the passes need."""
     out = None
     for k, p in enumerate(passes):
         one = p.select("source_id", "target_id", "kind", F.struct(F.lit(k).alias("k"), "made_by").alias("m")).where("source_id <> target_id")
         out = one if out is None else out.unionByName(one)
+    if partitions:
+        out = out.repartition(partitions, "source_id", "target_id")
     return out.groupBy("source_id", "target_id", "kind").agg(F.min("m").alias("m")).select("source_id", "target_id", "kind", F.col("m.made_by").alias("made_by"))
 
 

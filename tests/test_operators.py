@@ -227,6 +227,12 @@ def test_no_pin_meets_all_definitions_of_its_name(plain):
     assert {(x["name"], x["at"]): x["id"] for x in got.collect()} == want
 
 
+def test_passes_take_the_partitions_they_need(plain):
+    p = plain.createDataFrame([(1, 2, "calls", "b"), (1, 2, "calls", "a"), (3, 3, "calls", "a")], "source_id long, target_id long, kind string, made_by string")
+    got = linking.first_pass_wins([p, p.withColumn("made_by", F.lit("A"))], 37)
+    assert got.rdd.getNumPartitions() == 37 and [tuple(r) for r in got.collect()] == [(1, 2, "calls", "a")]
+
+
 def test_ways_that_lead_to_no_named_node_are_left_out(spark, monkeypatch):
     kept = {}
     real = graph.materialize

@@ -233,6 +233,14 @@ def test_passes_take_the_partitions_they_need(plain):
     assert got.rdd.getNumPartitions() == 37 and [tuple(r) for r in got.collect()] == [(1, 2, "calls", "a")]
 
 
+def test_the_first_places_of_a_symbol_stay(plain):
+    """Callers of two symbols of one name count once; of the kinds at one place the least is given."""
+    nodes = plain.createDataFrame([(1, "function", "f", "a", 1, 1), (2, "function", "f", "b", 1, 1)] + [(i, "route" if i % 2 else "method", f"c{i // 2:02}", "z", i // 2, 9) for i in range(10, 130)], NODES)
+    edges = plain.createDataFrame([(i, t, "calls") for i in range(129, 9, -1) for t in (1, 2)] * 2, "source_id long, target_id long, kind string")
+    got = graph.callers(nodes, edges, nodes.where("name = 'f'"), partitions=3).collect()
+    assert sorted((r["symbol"], r["name"], r["kind"], r["line"]) for r in got) == [("f", f"c{i:02}", "method", i) for i in range(5, 45)]
+
+
 def test_ways_that_lead_to_no_named_node_are_left_out(spark, monkeypatch):
     kept = {}
     real = graph.materialize

@@ -227,6 +227,18 @@ def test_no_pin_meets_all_definitions_of_its_name(plain):
     assert {(x["name"], x["at"]): x["id"] for x in got.collect()} == want
 
 
+def test_lines_are_looked_up_once(plain):
+    import random
+
+    r = random.Random(4)
+    nodes = [(i, "function", "n", f"f{i % 3}", x := r.randrange(2000), r.choice([None, x - 1, x, x + 10, x + 700])) for i in range(150)]
+    places = [(f"f{r.randrange(4)}", r.randrange(2100), k) for k in range(300)] * 5
+    got = graph.enclosing(plain.createDataFrame(nodes, NODES), plain.createDataFrame(places, "file string, at long, k long"), 9)
+    want = {(f, at, k): max(((n[4], n[0]) for n in nodes if n[3] == f and n[4] <= at and (n[5] is None or at <= n[5])), default=(None, None))[1] for f, at, k in places}
+    rows = got.collect()
+    assert len(rows) == 1500 and got.columns == ["file", "at", "k", "symbol"] and {tuple(x)[:3]: x["symbol"] for x in rows} == want
+
+
 def test_passes_take_the_partitions_they_need(plain):
     p = plain.createDataFrame([(1, 2, "calls", "b"), (1, 2, "calls", "a"), (3, 3, "calls", "a")], "source_id long, target_id long, kind string, made_by string")
     got = linking.first_pass_wins([p, p.withColumn("made_by", F.lit("A"))], 37)

@@ -259,4 +259,12 @@ def test_ways_that_lead_to_no_named_node_are_left_out(spark, monkeypatch):
     monkeypatch.setattr(graph, "materialize", lambda df, name: kept.setdefault(name, real(df, name)) if name == "flow-edges" else real(df, name))
     edges = spark.createDataFrame([(1, 2, "calls"), (2, 3, "calls"), *((k, 100 + i, "calls") for i in range(50) for k in (1, 3)), (100, 200, "calls")] * 2, "source_id long, target_id long, kind string")
     assert {tuple(r) for r in graph.flow_paths(edges, spark.createDataFrame([(1,), (3,)], "id long")).collect()} == {(1, 3, 2)}
-    assert {tuple(r) for r in kept["flow-edges"].collect()} == {(1, 2, False), (2, 3, True)}
\ No newline at end of file
+    assert {tuple(r) for r in kept["flow-edges"].collect()} == {(1, 2, False), (2, 3, True)}
+
+
+def test_refs_are_taken_in_one_pass(plain):
+    nodes = plain.createDataFrame([(1, "function", "get", "x.go", 1, 2), (2, "function", "other", "y.go", 1, 2)], NODES)
+    r = refs(plain, (5, "a.get", "calls", "k.go"), (6, "get", "calls", "x.go"), (7, "other", "calls", "x.go"), (8, "other", "calls", "k.go"), (9, None, "calls", "k.go"), *[(5, "a.get", "calls", "k.go")] * 3)
+    got = resolve.refs_to_retry(r, nodes, nodes.where("file = 'x.go'"))
+    assert sorted(x["from_node"] for x in got.collect()) == [5, 6, 7]
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
\ No newline at end of file

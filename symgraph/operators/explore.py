@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, paths
+from .graph import top
 
 MOST_TOKENS = 16
 MOST_PER_TOKEN = 6
@@ -28,7 +29,8 @@ def question_tokens(question: str) -> list[str]:
 
 def token_hits(nodes: DataFrame, tokens: DataFrame, most: int = MOST_PER_TOKEN) -> DataFrame:
     """(token, id): callable symbols of that name, or of the token's tail where none bears all of it; the first `most` by place."""
-    n = nodes.where(F.col("kind").isin(*CALLABLE)).select("id", "name", "file", "line")
+    # a name's first ones before any token meets them
+    n = top(nodes.where(F.col("kind").isin(*CALLABLE)).select("id", "name", "file", "line"), ["name"], ["file", "line", "id"], most)
     each = tokens.select("token", F.posexplode(F.array_distinct(F.array(F.col("token"), names.name_tail(F.col("token"))))).alias("way", "k"))
     hit = each.join(n, F.col("k") == F.col("name"))
     first = Window.partitionBy("token")
@@ -97,4 +99,4 @@ def pack(parts: list[tuple[str, str, bool]], b: Budget) -> list[tuple[str, str]]
         body = text if len(text) <= room else text[:room].rsplit("\n", 1)[0]
         out.append((file, body))
         used += len(body)
-    return out
+    return out
\ No newline at end of file

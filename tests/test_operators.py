@@ -227,6 +227,14 @@ def test_no_pin_meets_all_definitions_of_its_name(plain):
     assert {(x["name"], x["at"]): x["id"] for x in got.collect()} == want
 
 
+def test_tokens_meet_the_first_of_a_name(plain):
+    nodes = plain.createDataFrame([(i, "function", "get", f"f{i:03}.go", 1, 2) for i in range(300)], NODES)
+    tokens = plain.createDataFrame([(f"x{i}.get",) for i in range(200)], "token string")
+    got = explore.token_hits(nodes, tokens)
+    assert most_joined(got) <= 200 * explore.MOST_PER_TOKEN
+    assert {(r["token"], r["id"]) for r in got.collect()} == {(f"x{i}.get", k) for i in range(200) for k in range(explore.MOST_PER_TOKEN)}
+
+
 def test_lines_are_looked_up_once(plain):
     import random
 

@@ -17,10 +17,12 @@ from pyspark.sql import types as T
 
 from ..functions import paths
 from ..functions.text import strip_json_comments
+from .tables import materialize
 
 SCRIPT_PROBES = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".d.ts", ".vue", ".svelte", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
 SCRIPTS = ("astro", "javascript", "svelte", "typescript", "vue")
 MANIFEST_NAMES = ("go.mod", "package.json", "tsconfig.json", "jsconfig.json", "Cargo.toml", "pnpm-workspace.yaml")
+IMPORTS_OF_TASK = 1 << 15
 
 
 @dataclass
@@ -162,8 +164,10 @@ def targets(imports: DataFrame, files: DataFrame, m: Manifests) -> DataFrame:
     def candidates_of(file: pd.Series, spec: pd.Series, language: pd.Series) -> pd.Series:
         return pd.Series([candidates(f, s, lang, shared.value) for f, s, lang in zip(file, spec, language)], dtype=object)
 
-    i = imports.select("file", "spec", "language").distinct()
-    c = i.select("file", "spec", F.posexplode(candidates_of("file", "spec", "language")).alias("k", "path"))
+    # Python takes long for few bytes: imports are spread by number
+    n = max(int(imports.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-imports.count() // IMPORTS_OF_TASK))
+    i = imports.select("file", "spec", "language").repartition(n, "file", "spec", "language").distinct()
+    c = materialize(i.select("file", "spec", F.posexplode(candidates_of("file", "spec", "language")).alias("k", "path")), "candidates")
     one = c.join(files.select("path"), "path").select("file", "spec", "k", F.col("path").alias("target_file"))
     inside = files.select(F.concat(F.when(F.instr("path", "/") > 0, F.concat(paths.dirname(F.col("path")), F.lit("/"))).otherwise(""), F.lit("*")).alias("path"), F.col("path").alias("target_file")).where(F.endswith("target_file", F.lit(".go")))
     several = c.join(inside, "path").withColumn("is_test", F.endswith("target_file", F.lit("_test.go")))

@@ -105,3 +105,17 @@ def test_the_nine_tools(spark, tables, tmp_path):
     p.save(str(tmp_path / "index"))
     again = Project.load(spark, str(tmp_path / "index"))
     assert [r["name"] for r in again.callers("Helper").collect()] == ["Run", "TestHelper"]
+
+
+def test_files_are_spread_by_number(spark, monkeypatch):
+    """Small files of one part are parsed in as many tasks as their number needs, and so are their imports."""
+    tasks = {}
+    for module in (index, index.imports):
+        monkeypatch.setattr(module, "materialize", lambda df, name, real=module.materialize: tasks.setdefault(name, df.rdd.getNumPartitions()) and real(df, name))
+    monkeypatch.setattr(index, "FILES_OF_TASK", 2)
+    monkeypatch.setattr(index.imports, "IMPORTS_OF_TASK", 2)
+    rows = [(f"p{i}/x.go", f'package p{i}\n\nimport (\n\t"m/p{i + 1}"\n)\n\nfunc F{i}() {{\n\tp{i + 1}.F{i + 1}()\n}}\n') for i in range(19)] + [("go.mod", "module m\n")]
+    files = spark.createDataFrame(rows, "path string, content string").coalesce(1).selectExpr("path", "content", "CAST(length(content) AS BIGINT) AS size", "CAST(NULL AS TIMESTAMP) AS mtime", "sha2(content, 256) AS content_hash")
+    got = index.build(files)
+    assert tasks["files"] == 10 and tasks["candidates"] == 10
+    assert got["edges"].where("kind = 'calls' AND provenance = 'import'").count() == 18

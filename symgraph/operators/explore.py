@@ -99,4 +99,4 @@ def pack(parts: list[tuple[str, str, bool]], b: Budget) -> list[tuple[str, str]]
         body = text if len(text) <= room else text[:room].rsplit("\n", 1)[0]
         out.append((file, body))
         used += len(body)
-    return out
\ No newline at end of file
+    return out

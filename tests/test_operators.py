@@ -275,4 +275,12 @@ def test_refs_are_taken_in_one_pass(plain):
     r = refs(plain, (5, "a.get", "calls", "k.go"), (6, "get", "calls", "x.go"), (7, "other", "calls", "x.go"), (8, "other", "calls", "k.go"), (9, None, "calls", "k.go"), *[(5, "a.get", "calls", "k.go")] * 3)
     got = resolve.refs_to_retry(r, nodes, nodes.where("file = 'x.go'"))
     assert sorted(x["from_node"] for x in got.collect()) == [5, 6, 7]
-    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
\ No newline at end of file
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_files_are_joined_by_number(plain):
+    nodes, edges = chain(plain)
+    got = graph.file_edges(nodes, edges.union(edges))
+    assert {tuple(r) for r in got.collect()} == {("main.go", "foo.go"), ("foo.go", "bar.go")} and got.count() == 2
+    shuffled = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(source_id" in x or "Exchange hashpartitioning(target_id" in x]
+    assert not any("file" in x for x in shuffled)
